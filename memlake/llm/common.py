@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of text in an Arrow batch: bounds a worker's memory when texts are long.
 BATCH_ROWS = "400"
@@ -54,15 +56,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def over_texts(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+def over_texts(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """Apply a batch function to Arrow batches; make() runs once in each task.
 
     The function gets column name -> list and returns column name -> list for the named schema.
     """
     small_batches(df.sparkSession)
-    out = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

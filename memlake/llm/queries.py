@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import bpe, licenses, packing, token_counts
+from memlake.llm import bpe, extraction, licenses, near_dup, packing, pii, quality, secrets, token_counts
 from memlake.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, separator=0)
 
@@ -26,12 +34,24 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find_near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op5_packing, op6_bpe, op10_token_counts)}
+    return {f.__name__: f for f in (op1_licenses, op2_main_text, op3_secrets, op5_packing, op6_bpe, op7_near_duplicates, op8_quality, op9_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

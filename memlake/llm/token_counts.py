@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import chunks
-from memlake.llm.common import joined_small, over_texts, shared_dir, written
+from memlake.llm.common import over_texts, shared_dir, written
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 
@@ -99,5 +99,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     made.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # an interrupted run may have appended some twice
-    out = joined_small(digests, counts, ["digest"], "left", 1 << 62, salts=16)
+    out = digests.join(counts, "digest", "left")  # a hot digest is split as a skewed join
     return out.select(F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
