@@ -252,14 +252,19 @@ def masked(text: str, accepted: set[int]) -> str:
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data in the text replaced; other columns and null texts stay. Texts aren't shuffled: they are read
-    once to train and once to mask."""
+    """docs with personal data in the text replaced, and n_chars as long as the text where docs have it; other columns and
+    null texts stay. Texts aren't shuffled: they are read once to train and once to mask."""
     found = written(over_texts(docs.select(F.lit(0).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")), lambda: _annotated(), _SCHEMA).select("_cells", "_more"), "pii-cells")
     accepted = frozenset(_accepted(found))
     dropped(found)
     schema = docs.schema
 
     def make():
-        return lambda x: x | {text: [t if t is None else masked(t, accepted) for t in x[text]]}
+        def run(x: dict) -> dict:
+            new = [t if t is None else masked(t, accepted) for t in x[text]]
+            sizes = {"n_chars": [n if t is None else len(t) for t, n in zip(new, x["n_chars"], strict=True)]} if "n_chars" in x else {}
+            return x | {text: new} | sizes
+
+        return run
 
     return over_texts(docs, make, schema)

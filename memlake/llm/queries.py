@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from memlake.llm import bpe, extraction, licenses, near_dup, packing, pii, quality, secrets, token_counts
+from memlake.llm import bpe, extraction, licenses, near_dup, nearest, packing, pii, quality, secrets, token_counts
 from memlake.llm.common import table
 
 
@@ -26,6 +27,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048, separator=0)
 
@@ -51,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_main_text, op3_secrets, op5_packing, op6_bpe, op7_near_duplicates, op8_quality, op9_personal_data, op10_token_counts)}
+    return {f.__name__: f for f in (op1_licenses, op2_main_text, op3_secrets, op4_nearest, op5_packing, op6_bpe, op7_near_duplicates, op8_quality, op9_personal_data, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
