@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.common import over_texts, written
 
-TABLES, LAST, PROBES = 8, 32, 140
+TABLES, LAST, PROBES = 8, 32, 500
 #: Entries of a bucket that stand in one group, about.
 GROUP_ROWS = 8192
 
