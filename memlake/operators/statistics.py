@@ -67,3 +67,19 @@ def strata_estimate(counts: DataFrame, k: str, n: str, weight: str, z: float = 1
     one = seen.agg(F.sum(F.col("_w") * p).alias("rate"), F.sum(F.col("_w") * F.col("_w") * p * (1 - p) / F.col(n)).alias("_var"))
     half = z * F.sqrt("_var")
     return one.select("rate", F.greatest(F.lit(0.0), F.col("rate") - half).alias("low"), F.least(F.lit(1.0), F.col("rate") + half).alias("high"))
+
+
+def bootstrap(counts: DataFrame, stratum: str, k: str, n: str, replicates: int) -> DataFrame:
+    """Low and high of the resampled rate by index, draws from a hash of replicate, stratum and trial: the same on every run.
+
+    A replicate draws a stratum's successes from the normal approximation of its binomial, so that work is per stratum.
+    """
+    each = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = lambda seed: (F.pmod(F.xxhash64("replicate", stratum, F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
+    p = F.col(k) / F.col(n)
+    drawn = F.greatest(F.lit(0.0), F.least(F.col(n).cast("double"), F.col(n) * p + z * F.sqrt(F.col(n) * p * (1 - p))))
+    rates = each.withColumn("_d", drawn).groupBy("replicate").agg((F.sum("_d") / F.sum(n)).alias("rate"))
+    at = rates.withColumn("_i", F.row_number().over(Window.orderBy("rate")) - 1)
+    low, high = int(0.025 * replicates), int(0.975 * replicates)
+    return at.agg(F.max(F.when(F.col("_i") == low, F.col("rate"))).alias("low"), F.max(F.when(F.col("_i") == high, F.col("rate"))).alias("high"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package; each has QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES = ("corpus", "events")
+MODULES = ("corpus", "events", "integrity", "evaluation")
 
 
 def _gather(kind: str) -> dict:
