@@ -10,9 +10,10 @@ A passage that many documents share is frequent and doesn't get there, unless th
 
 Overlaps. All pairs of a list would grow with its square. First each member meets its list's smallest id only, the links
 found join classes to components, and then only members of different components meet; in a list all but those of its
-largest component look for partners. So a group of thousands of near copies costs a few rounds over its members, and no
-link that could join two components is skipped. The union of two sketches estimates the similarity and filters; exact
-similarity on full sets decides.
+largest component look for partners, directly in a list of at most SHORT, in a longer one by an exact prefix and positional
+filter on whole sets. So a group of thousands of near copies costs a few rounds over its members, and no link that
+could join two components is skipped. The union of two sketches estimates the similarity and filters; exact similarity on
+whole sets decides.
 
 Null texts and texts without words are linked with nothing. Rows with a null id are linked with nothing and kept.
 Rows that repeat an id are one document. One row out for each row in; an empty table gives an empty result.
@@ -33,6 +34,8 @@ K = 64
 OVERLAP = 36
 #: Estimates below this part of the threshold can't come from a pair at the threshold (four standard deviations at K).
 MARGIN = 0.75
+#: A list with more members than this is settled on whole sets.
+SHORT = 32
 #: Words whose hashes a worker holds at once.
 CACHE_WORDS = 400_000
 
@@ -115,22 +118,67 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """id, full: the whole sets of the texts with these ids (_key). A written table."""
+    own = joined_small(texts, ids, ["_key"], "inner", 16 * ids.count(), salts=1)
+    return written(over_texts(own, _sets(width), "id bigint, full array<bigint>"), "sets")
+
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs a, b those whose whole sets have the similarity. A written table."""
+    sets = [full.select(F.col("id").alias(i), F.col("full").alias(f"f{i}")) for i in "ab"]
+    both = pairs.join(sets[0], "a").join(sets[1], "b").withColumn("_both", F.size(F.array_intersect("fa", "fb")))
+    union = F.size("fa") + F.size("fb") - F.col("_both")
+    return written(both.filter((100 * F.col("_both") >= percent * union) & (union > 0)).select("a", "b").distinct(), "links")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the pairs a, b of class ids, those whose full sets have the similarity: estimated, then confirmed. A written table."""
-    low, high = (classes.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}")) for i in "ab")
+    """Of the pairs a, b of class ids, those with the similarity: estimated from sketches, then confirmed. A written table."""
+    low, high = (classes.select(F.col("id").alias(i), F.col("sketch").alias(f"s{i}")) for i in "ab")
     seen = over_texts(pairs.join(low, "a").join(high, "b").select("a", "b", "sa", "sb"), lambda: _estimates, "a bigint, b bigint, estimate double")
     near = written(seen.filter(F.col("estimate") >= MARGIN * percent / 100).select("a", "b"), "near")
     wanted = written(near.select(F.col("a").alias("_key")).unionByName(near.select(F.col("b").alias("_key"))).distinct(), "wanted")
-    own = joined_small(texts, wanted, ["_key"], "inner", 16 * wanted.count(), salts=1)
-    full = written(over_texts(own, _sets(width), "id bigint, full array<bigint>"), "sets")
-    sets = [full.select(F.col("id").alias(i), F.col("full").alias(f"f{i}")) for i in "ab"]
-    both = near.join(sets[0], "a").join(sets[1], "b").withColumn("_both", F.size(F.array_intersect("fa", "fb")))
-    union = F.size("fa") + F.size("fb") - F.col("_both")
-    found = written(both.filter((100 * F.col("_both") >= percent * union) & (union > 0)).select("a", "b").distinct(), "links")
+    full = _sets_of(wanted, texts, width)
+    found = _confirmed(near, full, percent)
     dropped(near, wanted, full)
     return found
 
 
+def _open_lists(member: DataFrame) -> DataFrame:
+    """v, _many, most: the lists that hold more than one component, their length and their largest component."""
+    parts = member.groupBy("v", "c").agg(F.count("*").alias("_n")).groupBy("v").agg(F.count("*").alias("_parts"), F.sum("_n").alias("_many"), F.max(F.struct("_n", "c")).alias("_most"))
+    return parts.filter("_parts > 1").select("v", "_many", F.col("_most.c").alias("most"))
+
+
+def _across(member: DataFrame, lists: DataFrame, condition) -> DataFrame:
+    """a, b: members of the lists in different components, all but those of the largest one against the others."""
+    left = member.join(lists, "v").filter("c != most").select("v", "most", *[F.col(x).alias(f"{x}a") for x in member.columns if x != "v"])
+    right = member.select("v", *[F.col(x).alias(f"{x}b") for x in member.columns if x != "v"])
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("ida") < F.col("idb")))
+    return left.join(right, "v").filter(apart & condition).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def _long_lists(member: DataFrame, lists: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across components among the members of long lists, by the exact prefix and positional filter on whole sets.
+
+    With a set's shingles rarest first, a pair at the similarity shares one among the first n - ceil(n * similarity) + 1,
+    and what either has before its first shared one can't match: a near copy with too many changes of its own drops out.
+    """
+    who = written(member.join(lists.select("v"), "v").select("id", "c").distinct(), "who")
+    full = _sets_of(who.select(F.col("id").alias("_key")), texts, width)
+    values = full.select("id", F.size("full").alias("n"), F.explode("full").alias("v"))
+    held = values.join(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "v")
+    by_set = Window.partitionBy("id", "n")
+    ranked = held.withColumn("_held", F.count("*").over(by_set)).withColumn("_turn", F.row_number().over(by_set.orderBy("df", "v")))
+    ranked = ranked.withColumn("at", F.col("n") - F.col("_held") + F.col("_turn") - 1)
+    place = written(ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(who, "id").select("v", "id", "n", "at", "c"), "places")
+    reach = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    pairs = written(_across(place, _open_lists(place), reach), "pairs")
+    found = _confirmed(pairs, full, percent)
+    dropped(who, full, place, pairs)
+    return found
+
+
 def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id, kept."""
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -156,21 +204,19 @@ def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     links = _links(stars, classes, texts, width, percent)
     joined = written(components(links), "components")
 
-    # Then members of different components meet, in the list of the smallest value that both have there.
+    # Then members of different components meet: in a short list directly, in the list of the smallest value both have.
     places = lists.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias("vs"))  # at most K values
     member = lists.join(places, "id").join(joined, "id", "left").select("v", "id", "n", "vs", F.coalesce("component", "id").alias("c"))
     member = written(member, "members")
-    parts = member.groupBy("v", "c").agg(F.count("*").alias("_n")).groupBy("v").agg(F.count("*").alias("_parts"), F.max(F.struct("_n", "c")).alias("_most"))
-    open_lists = parts.filter("_parts > 1").select("v", F.col("_most.c").alias("most"))
-    left = member.join(open_lists, "v").filter("c != most").select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("vs").alias("va"), F.col("c").alias("ca"), "most")
-    right = member.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vs").alias("vb"), F.col("c").alias("cb"))
-    once = F.array_min(F.array_intersect("va", "vb")) == F.col("v")
-    meet = left.join(right, "v").filter((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & similar & once)
-    rest = written(meet.select("a", "b").distinct().join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")).unionByName(stars), ["a", "b"], "left_anti"), "rest")
+    unsettled = written(_open_lists(member), "open")
+    once = F.array_min(F.array_intersect("vsa", "vsb")) == F.col("v")
+    rest = _across(member, unsettled.filter(F.col("_many") <= SHORT), similar & once)
+    rest = written(rest.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")).unionByName(stars), ["a", "b"], "left_anti"), "rest")
     more = _links(rest, classes, texts, width, percent)
+    more = more.unionByName(_long_lists(member.drop("vs"), unsettled.filter(F.col("_many") > SHORT), texts, width, percent))
     whole = written(components(links.unionByName(more)), "components")
     label = classes.select("fp", "id").join(whole, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    dropped(lists, stars, joined, member, rest)
+    dropped(lists, stars, joined, member, unsettled, rest)
     out = rows.select("_key", "n", "fp").join(label, "fp", "left")  # a hot fp is split as a skewed join
     component = F.when(F.col("_key").isNotNull(), F.coalesce("component_id", "_key"))
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("_key"), F.lit(True)).alias("kept"))
