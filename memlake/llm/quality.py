@@ -261,20 +261,21 @@ def keep_good(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, text:
     """docs without those that the rules or the bands reject, all columns as they were. Texts aren't shuffled: they are read
     to count, to set the bands and to filter."""
     models = fit(docs, text, lang)
-    plain = docs.select(F.lit(0).cast("long").alias("_key"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    scores = written(_score_all(plain, models, _scored, _SCORES), "quality")
+    rows = docs.select(F.lit(0).cast("long").alias("_key"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    scores = written(_score_all(rows, models, _scored, _SCORES), "quality")
     limits = bands(scores, width, slack)
     dropped(scores)
-    columns = docs.columns
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, none clashes with ours
 
     def verdict(x: dict, base: list, logs: np.ndarray) -> dict:
         keep = []
         for (n_words, _, _, _, repeated), k, v in zip(base, x["_lang"], logs, strict=True):
             low, high = limits.get(k, (-np.inf, np.inf))
-            keep.append(not failed(n_words, repeated) and (np.isnan(v) or low <= v <= high))
-        return {c: x[c] for c in columns} | {"_keep": keep}
-
-    extended = docs.withColumns({"_lang": F.coalesce(F.col(lang), F.lit("")), "_text": F.coalesce(F.col(text), F.lit(""))})
-    out = _score_all(extended, models, verdict, StructType([*docs.schema.fields, StructField("_keep", BooleanType())]))
-    return out.filter("_keep").drop("_keep")
-
+            keep.append(not failed(n_words, repeated) and bool(np.isnan(v) or low <= v <= high))
+        return {c: x[c] for c in names} | {"_keep": keep}
+
+    own = docs.toDF(*names)
+    of = dict(zip(docs.columns, names, strict=True))
+    extended = own.withColumns({"_lang": F.coalesce(F.col(of[lang]), F.lit("")), "_text": F.coalesce(F.col(of[text]), F.lit(""))})
+    out = _score_all(extended, models, verdict, StructType([*own.schema.fields, StructField("_keep", BooleanType())]))
+    return out.filter("_keep").drop("_keep").toDF(*docs.columns)

@@ -94,7 +94,7 @@ def test_bands_reject_gibberish_and_dull_text_and_keep_clean(spark):
 
 def test_filter_agrees_with_report_and_keeps_columns(spark):
     clean, odd, dull = corpus(200)
-    df = spark.createDataFrame([(*r, "x", 7) for r in clean + odd + dull], "doc_id bigint, text string, lang string, kept string, n_chars bigint")
+    df = spark.createDataFrame([(*r, "x", 7) for r in clean + odd + dull], "doc_id bigint, text string, lang string, _lang string, _text bigint")
     want = {r.doc_id for r in Q.quality_report(df).collect() if r.kept}
     got = Q.keep_good(df)
     assert got.columns == df.columns and {r.doc_id for r in got.collect()} == want
