@@ -185,6 +185,8 @@ def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     rows = written(over_texts(texts, _sketches(width), "_key bigint, n bigint, fp binary, sketch array<bigint>"), "sketches")
     named = rows.filter(F.col("_key").isNotNull() & F.col("fp").isNotNull())
     classes = written(named.groupBy("fp").agg(F.min("_key").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    whole_table, rows = rows, written(rows.select("_key", "n", "fp"), "rows")  # sketches stay with the classes only
+    dropped(whole_table)
 
     # Inverted lists of the rarest retained values; one that a single class retains makes no pair but takes a place.
     values = classes.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
