@@ -134,13 +134,15 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the pairs a, b of class ids, those with the similarity: estimated from sketches, then confirmed. A written table."""
-    low, high = (classes.select(F.col("id").alias(i), F.col("sketch").alias(f"s{i}")) for i in "ab")
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    own = joined_small(classes.select("id", "sketch"), ids, ["id"], "inner", 16 * ids.count(), salts=1)  # only these sketches move
+    low, high = (own.select(F.col("id").alias(i), F.col("sketch").alias(f"s{i}")) for i in "ab")
     seen = over_texts(pairs.join(low, "a").join(high, "b").select("a", "b", "sa", "sb"), lambda: _estimates, "a bigint, b bigint, estimate double")
     near = written(seen.filter(F.col("estimate") >= MARGIN * percent / 100).select("a", "b"), "near")
     wanted = written(near.select(F.col("a").alias("_key")).unionByName(near.select(F.col("b").alias("_key"))).distinct(), "wanted")
     full = _sets_of(wanted, texts, width)
     found = _confirmed(near, full, percent)
-    dropped(near, wanted, full)
+    dropped(ids, near, wanted, full)
     return found
 
 
