@@ -4,7 +4,8 @@ A modified Kneser-Ney model of characters, order 4, is counted by Spark over all
 continuation counts. The model is sorted arrays of n-gram codes (four symbols of 7 bits) with log probabilities and
 back-off weights, searched by bisection. A document's perplexity is that of its characters; for each language a document
 outside a lower and an upper band around the median is rejected. The bands are `width` times the distance from the
-median to the 16th and 84th percentile (and at least `slack`), in log perplexity, over all documents that pass the rules.
+median to the 16th and 84th percentile, in log perplexity, over all documents that pass the rules; `slack` is a floor for
+degenerate spreads, far below a real one.
 
 The alphabet has 128 symbols, so a language's model has at most 128**4 entries and in practice a few hundred
 thousand; its growth levels off, while counts grow with the corpus. It is measured before it is broadcast: beyond
@@ -237,8 +238,9 @@ def _score_all(docs: DataFrame, models: dict[str, Model], finish, schema) -> Dat
     return none
 
 
-#: Bands: clean documents lie well within them.
-WIDTH, SLACK = 6.0, 0.35
+#: Bands: WIDTH measured spreads of the language (about 0.02 nat a character on real prose); SLACK only keeps a spread of nearly
+#: nothing (a language of copies) from rejecting what differs by rounding.
+WIDTH, SLACK = 6.0, 0.005
 
 
 def quality_report(docs: DataFrame, width: float = WIDTH, slack: float = SLACK, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:

@@ -92,6 +92,24 @@ def test_bands_reject_gibberish_and_dull_text_and_keep_clean(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
 
 
+def test_bands_follow_the_measured_spread(spark):
+    """Junk within 0.35 of the median but many spreads from it: each eighth word is run together from letter pairs; each thirtieth is no junk."""
+    clean, _, _ = corpus()
+    rng = random.Random(8)
+    letters = "".join(t for _, t, _ in clean).replace(" ", "")
+    pairs = [letters[i : i + 2] for i in range(0, 4000, 2)]
+
+    def mixed(i, every):
+        return " ".join("".join(rng.choice(pairs) for _ in range(3)) if k % every == 0 else w for k, w in enumerate(clean[i][1].split()))
+
+    junk, some = ([(first + i, mixed(i, every), "en") for i in range(5)] for first, every in ((5000, 8), (6000, 30)))
+    got = {r.doc_id: r for r in Q.quality_report(spark.createDataFrame(clean + junk + some, "doc_id bigint, text string, lang string")).collect()}
+    middle = float(np.median([got[i].log_perplexity for i, _, _ in clean]))
+    assert all(abs(got[i].log_perplexity - middle) < 0.35 and not got[i].base_failed for i, _, _ in junk)
+    assert not any(got[i].kept for i, _, _ in junk)
+    assert all(got[i].kept for i, _, _ in clean + some)
+
+
 def test_filter_agrees_with_report_and_keeps_columns(spark):
     clean, odd, dull = corpus(200)
     df = spark.createDataFrame([(*r, "x", 7) for r in clean + odd + dull], "doc_id bigint, text string, lang string, _lang string, _text bigint")
