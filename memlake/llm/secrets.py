@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and password guess costs for values in credential contexts.
 
 The guess cost of a value is the least sum, over its segmentations, of log10 guesses for each segment: a common word, a
-date, a repeat, a keyboard walk or a brute-force span; dynamic programming finds it. A value that follows a credential
+date, a repeat, a keyboard walk or a brute-force span; dynamic programming finds it. A repeat is any span, of whatever length
+and at whatever place, that is its shortest unit two or more times. A value that follows a credential
 word and costs at least `threshold` is reported as a span of kind "guess", unless a pattern's span holds it already.
 
 Null texts are read as empty: no spans. Ids may be null or repeat: one row out for each row in. Whole texts are scanned.
@@ -12,7 +13,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +53,6 @@ RANK = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
 LONGEST = max(map(len, RANK))
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._ ]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._ ]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
-REPEAT = re.compile(r"(.+?)\1+", re.S)
 KEYS = {c: (i + at, y) for y, (row, at) in enumerate(ROWS) for i, c in enumerate(row)}
 #: log10 guesses for starting another segment: an attacker must also find how segments join.
 JOIN = 0.5
@@ -68,9 +71,45 @@ def _near(a: str, b: str) -> bool:
     return a != b and abs(y - v) <= 1 and abs(x - u) <= 1.0
 
 
-def _segments(value: str) -> list[tuple[int, int, float, str]]:
-    """(start, end, log10 guesses, kind) of the spans that aren't brute force."""
+def _lower(value: str) -> str:
+    """Lower case with every character at its place."""
     low = value.lower()
+    return low if len(low) == len(value) else "".join(x if len(x := c.lower()) == 1 else c for c in value)
+
+
+def _runs(low: str) -> Iterator[tuple[int, int, int]]:
+    """(period, start, end) of the maximal spans that repeat a unit at least twice; the unit is itself no repeat."""
+    points, n = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4"), len(low)
+    for p in range(1, n // 2 + 1):
+        breaks = np.concatenate([[-1], np.flatnonzero(points[:-p] != points[p:]), [n - p]])
+        for k in np.flatnonzero(np.diff(breaks) > p).tolist():
+            start, end = int(breaks[k]) + 1, int(breaks[k + 1]) + p
+            unit = low[start : start + p]
+            if end - start >= _times(p) * p and (unit + unit).find(unit, 1) == p:
+                yield p, start, end
+
+
+def _times(p: int) -> int:
+    """How many times a unit makes a repeat: twice, and three characters."""
+    return 3 if p == 1 else 2
+
+
+@lru_cache(4096)
+def _unit_cost(unit: str) -> float:
+    return guess_cost(unit)[0]
+
+
+def _repeats(low: str) -> Iterator[tuple[int, int, float, str]]:
+    """All repeats; their number can grow with the square of the length, so guess_cost goes by runs."""
+    for p, start, end in _runs(low):
+        for i in range(start, end - _times(p) * p + 1):
+            for j in range(i + _times(p) * p, end + 1, p):
+                yield i, j, _unit_cost(low[i : i + p]) + math.log10((j - i) // p + 1), "repeat"
+
+
+def _segments(value: str, repeats: bool = True) -> list[tuple[int, int, float, str]]:
+    """(start, end, log10 guesses, kind) of the spans that aren't brute force."""
+    low = _lower(value)
     plain, n, found = low.translate(LEET), len(value), []
     for form, extra in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
         for i in range(n):
@@ -81,11 +120,8 @@ def _segments(value: str) -> list[tuple[int, int, float, str]]:
     for i in range(n):
         if m := DATE.match(value, i):
             found.append((i, m.end(), DATE_GUESSES if m.end() - i > 4 else math.log10(150), "date"))
-    for m in REPEAT.finditer(low) if n <= 512 else ():
-        unit, times = m[1], (m.end() - m.start()) // len(m[1])
-        if m.end() - m.start() >= 3:
-            base = guess_cost(unit)[0] if len(unit) < n else sum(map(_card, unit))
-            found.append((m.start(), m.end(), base + math.log10(times + 1), "repeat"))
+    if repeats:
+        found += _repeats(low)
     i = 0
     while i < n - 1:
         j = i + 1
@@ -102,8 +138,13 @@ def guess_cost(value: str) -> tuple[float, list[str]]:
     """The least log10 guesses, and the kinds of the segments that give it."""
     n = len(value)
     ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i, j, cost, kind in _segments(value):
+    for i, j, cost, kind in _segments(value, repeats=False):
         ending[j].append((i, cost, kind))
+    low = _lower(value)
+    opening: dict[int, list[tuple[int, int, int, dict]]] = {}  # runs by where their first repeat ends, with open starts by phase
+    for p, start, end in _runs(low):
+        opening.setdefault(start + _times(p) * p, []).append((p, start, end, {}))
+    running: list[tuple[int, int, int, dict]] = []
     brute = [(math.inf, 0, "")] * (n + 1)  # cost of a prefix that ends inside a brute-force span: cost, where from, how
     done = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
     for j in range(1, n + 1):
@@ -112,6 +153,18 @@ def guess_cost(value: str) -> tuple[float, list[str]]:
         done[j] = (brute[j][0], j, "brute")
         for i, cost, kind in ending[j]:
             done[j] = min(done[j], (done[i][0] + (JOIN if i else 0.0) + cost, i, kind))
+        running = [r for r in running if j <= r[2]] + opening.get(j, [])
+        for p, start, _, phases in running:
+            i = j - _times(p) * p
+            starts = phases.setdefault((i - start) % p, [])
+            starts.append((i, done[i][0] + (JOIN if i else 0.0) + _unit_cost(low[i : i + p])))
+            left, least = [], math.inf
+            for i, before in starts:  # an earlier start that is no dearer here stays so further on: later ones can go
+                if (cost := before + math.log10((j - i) // p + 1)) < least:
+                    left.append((i, before))
+                    least = cost
+                    done[j] = min(done[j], (cost, i, "repeat"))
+            phases[(left[0][0] - start) % p] = left
     kinds, j = [], n
     while j > 0:
         _, i, kind = done[j]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -70,3 +71,39 @@ def test_order_of_costs():
     cost = lambda v: S.guess_cost(v)[0]
     assert cost("password") < cost("qwertyuiop") < cost("x9Q!7zRp#2") and cost("aaaaaaaaaa") < cost("kgwpzhqxva") and cost("19870605") < cost("83914627")
     assert S.guess_cost("x" + "Zq" * 3000)[0] > 0
+
+
+def all_segmentations(value):
+    """The least cost with repeats found by trying each span and unit."""
+    low, n = S._lower(value), len(value)
+    spans = {(i, j): cost for i, j, cost, _ in sorted(S._segments(value, repeats=False), key=lambda x: -x[2])}
+    for i in range(n):
+        for j in range(i + 3, n + 1):
+            units = [p for p in range(1, (j - i) // 2 + 1) if (j - i) % p == 0 and low[i : i + p] * ((j - i) // p) == low[i:j]]
+            if units:
+                cost = all_segmentations(low[i : i + units[0]]) + S.math.log10((j - i) // units[0] + 1)
+                spans[i, j] = min(spans.get((i, j), cost), cost)
+    best = [0.0] + [float("inf")] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            one = min(spans.get((i, j), float("inf")), sum(map(S._card, value[i:j])))
+            best[j] = min(best[j], best[i] + (S.JOIN if i else 0) + one)
+    return best[n]
+
+
+def test_repeats_at_every_start_and_of_every_length():
+    rng = random.Random(3)
+    values = ["aabaab", "xaabaab", "kqkqkkqkqk", "Zq9Zq9Zq9z", "aaaaaab", "2020202020", "ÉxéxÉx", "İababab"]
+    values += ["".join(rng.choice("aBk9") for _ in range(rng.randrange(3, 16))) for _ in range(150)]
+    for v in values:
+        assert S.guess_cost(v)[0] == pytest.approx(all_segmentations(v)), v
+    for unit in ("x", "k9w", "aab"):
+        for n in (510, 513, 516, 6000):
+            short = S.guess_cost(unit)[0] + S.math.log10(n // len(unit) + 1)
+            assert S.guess_cost((unit * n)[: n // len(unit) * len(unit)])[0] == pytest.approx(short)
+
+
+def test_long_repeat_is_no_secret(spark):
+    rows = [(n, "password is " + "x" * n) for n in (512, 513, 5000)]
+    for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert r.n_guess == 0 and r.max_guess_log10 < S.THRESHOLD
