@@ -3,8 +3,9 @@
 A text's words (ASCII white space between them, A-Z lower-cased) give a set of shingles, hashed by one function to 64 bits;
 the K smallest hashes are its sketch. Texts with equal sets are one class, so that copies are handled once.
 
-Inverted lists. Two sets of similarity 0.8 or more share at least OVERLAP of K retained values (all but 5 in 10 million
-such pairs; sets of at most K shingles are retained whole and exact). So, with each sketch's values in order of how many
+Inverted lists. Two sets of similarity 0.8 or more share at least OVERLAP of K retained values, except with probability
+P(Bin(64, 0.8) <= 31) = 2.0e-8 at most (reached by large sets of which one holds the other, at 0.8 exactly; with MARGIN's
+4.4e-9 below, at most 2.4e-8 a pair; sets of at most 51 shingles are exact). So, with each sketch's values in order of how many
 classes retain them, rarest first, such pairs share a value among the first K - OVERLAP + 1: only these enter the lists.
 A passage that many documents share is frequent and doesn't get there, unless the documents consist mostly of it.
 
@@ -12,7 +13,7 @@ Overlaps. All pairs of a list would grow with its square. First each member meet
 found join classes to components, and then only members of different components meet; in a list all but those of its
 largest component look for partners, directly in a list of at most SHORT, in a longer one by an exact prefix and positional
 filter on whole sets. So a group of thousands of near copies costs a few rounds over its members, and no link that
-could join two components is skipped. The union of two sketches estimates the similarity and filters; exact similarity on
+could join two components is skipped. The union of two sketches estimates the similarity and filters (it drops a pair at 0.8 with probability P(Bin(64, 0.8) <= 30) = 4.4e-9); exact similarity on
 whole sets decides.
 
 Null texts and texts without words are linked with nothing. Rows with a null id are linked with nothing and kept.
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from memlake.llm.common import dropped, joined_small, over_texts, written
 
 K = 64
-OVERLAP = 36
-#: Estimates below this part of the threshold can't come from a pair at the threshold (four standard deviations at K).
-MARGIN = 0.75
+OVERLAP = 32
+#: Pairs with estimates below this part of the threshold aren't confirmed: fewer than 31 shared among the K of the union at 0.8.
+MARGIN = 0.6
 #: A list with more members than this is settled on whole sets.
 SHORT = 32
 #: Words whose hashes a worker holds at once.

@@ -70,6 +70,16 @@ def test_chain_in_a_large_group(spark):
     assert {r.component_id for r in got} == {r[2] for r in brute(rows)}
 
 
+@pytest.mark.parametrize("shared", [33, 37])
+def test_borderline_pair_with_an_unlucky_sketch(spark, shared):
+    """Similarity 0.8 exactly, one set within the other; of the 64 smallest values both hold only so many."""
+    words = sorted((f"w{i}" for i in range(1250)), key=lambda w: near_dup.shingles(w, 1)[0])
+    low, rest = words[:64], words[64:]
+    both = low[:shared] + rest[: 1000 - shared]
+    df = spark.createDataFrame([(1, " ".join(both), 0, ""), (2, " ".join(words), 0, ""), (3, "other words", 0, "")], SCHEMA)
+    assert {r.doc_id: r.component_id for r in near_dup.find_near_duplicates(df, width=1).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "a b c d", 0, ""), (None, "a b c d", 0, ""), (3, "a b c d", 0, ""), (3, "a b c d", 0, ""), (4, "A b c d", 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)
