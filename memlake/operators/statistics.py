@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 def wilson(k: Column, n: Column, z: float) -> tuple[Column, Column]:
     """The Wilson interval of k successes in n; null where n is 0."""
     p = k / n
@@ -69,17 +73,41 @@ def strata_estimate(counts: DataFrame, k: str, n: str, weight: str, z: float = 1
     return one.select("rate", F.greatest(F.lit(0.0), F.col("rate") - half).alias("low"), F.least(F.lit(1.0), F.col("rate") + half).alias("high"))
 
 
+def binomials(n: int, k: int, uniforms: np.ndarray) -> np.ndarray:
+    """The successes of resampling k in n, by inverting the binomial distribution function at the uniforms.
+
+    The function is summed within 12 standard deviations and 60 of the mean: what lies outside is below the uniforms' resolution.
+    """
+    if k in (0, n):
+        return np.full(len(uniforms), k)
+    p = k / n
+    reach = int(12 * math.sqrt(n * p * (1 - p))) + 60
+    first, last = max(0, k - reach), min(n, k + reach)
+    at = np.arange(first, last, dtype=float)
+    steps = np.log((n - at) / (at + 1)) + math.log(p / (1 - p))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return first + np.searchsorted(below / below[-1], uniforms, side="left")
+
+
+def _resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for n, k, us in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "us")), strict=True):
+            drawn = binomials(n, k, np.array(us))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(us)), pa.int64()), pa.array(drawn, pa.int64()), pa.array([n] * len(us), pa.int64())], names=["replicate", "drawn", "n"])
+
+
 def bootstrap(counts: DataFrame, stratum: str, k: str, n: str, replicates: int) -> DataFrame:
-    """Low and high of the resampled rate by index, draws from a hash of replicate, stratum and trial: the same on every run.
+    """Low and high of the resampled rate by index: each replicate draws a stratum's n outcomes with replacement, weighted by
+    its share of all outcomes. The same on every run: the uniforms are hashes of replicate and stratum.
 
-    A replicate draws a stratum's successes from the normal approximation of its binomial, so that work is per stratum.
+    The successes of n draws are an exact binomial, taken at one uniform, so that work is per stratum and not per outcome.
     """
-    each = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = lambda seed: (F.pmod(F.xxhash64("replicate", stratum, F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    z = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(2))
-    p = F.col(k) / F.col(n)
-    drawn = F.greatest(F.lit(0.0), F.least(F.col(n).cast("double"), F.col(n) * p + z * F.sqrt(F.col(n) * p * (1 - p))))
-    rates = each.withColumn("_d", drawn).groupBy("replicate").agg((F.sum("_d") / F.sum(n)).alias("rate"))
-    at = rates.withColumn("_i", F.row_number().over(Window.orderBy("rate")) - 1)
-    low, high = int(0.025 * replicates), int(0.975 * replicates)
+    u = lambda i: (F.shiftrightunsigned(F.xxhash64(i, F.col(stratum)), 11) + 0.5) / float(1 << 53)
+    us = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), u)
+    seen = counts.filter(F.col(n) > 0).select(F.col(n).cast("long").alias("n"), F.col(k).cast("long").alias("k"), us.alias("us"))
+    drawn = seen.mapInArrow(_resampled, "replicate bigint, drawn bigint, n bigint")
+    rates = drawn.groupBy("replicate").agg((F.sum("drawn") / F.sum("n")).alias("rate"))
+    at = rates.withColumn("_i", F.row_number().over(Window.orderBy("rate", "replicate")) - 1)
+    low, high = int(0.025 * replicates), min(int(0.975 * replicates), replicates - 1)
     return at.agg(F.max(F.when(F.col("_i") == low, F.col("rate"))).alias("low"), F.max(F.when(F.col("_i") == high, F.col("rate"))).alias("high"))

@@ -265,5 +265,5 @@ def prf_micro(t):
 
 @R.query()
 def bootstrap_ci(t):
-    """Hash-seeded bootstrap over strata counts: reproducible, 500 replicates, empirical 2.5 % and 97.5 % by index."""
-    return S.bootstrap(_strata(t), "stratum", "k", "n", 500)
+    """Hash-seeded bootstrap over strata counts: reproducible, exact draws, 2,000 replicates, empirical 2.5 % and 97.5 % by index."""
+    return S.bootstrap(_strata(t), "stratum", "k", "n", 2000)

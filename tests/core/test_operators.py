@@ -184,3 +184,30 @@ def test_clamp_keeps_errors_within_the_cap(spark):
 def test_schema_fingerprint_ignores_column_order(spark):
     a, b = spark.range(1).selectExpr("id", "'x' as s"), spark.range(1).selectExpr("'x' as s", "id")
     assert I.schema_fingerprint(a) == I.schema_fingerprint(b) != I.schema_fingerprint(a.drop("s"))
+
+
+def test_bootstrap_draws_whole_outcomes(spark):
+    """n = 3, k = 1: the resampled rate is a whole number of thirds, with the binomial's own quantiles."""
+    df = spark.createDataFrame([("a", 1, 3), ("none", 0, 0)], "s string, k bigint, n bigint")
+    for replicates in (1, 7, 40):
+        row = S.bootstrap(df, "s", "k", "n", replicates).first()
+        assert {round(3 * row[c], 9) for c in ("low", "high")} <= {0.0, 1.0, 2.0, 3.0}
+    row = S.bootstrap(df, "s", "k", "n", 2000).first()  # P(0) = 0.296, P(3) = 0.037
+    assert (row.low, row.high) == (0.0, 1.0)
+
+
+def test_bootstrap_of_large_strata(spark):
+    df = spark.createDataFrame([("a", 6000, 10000), ("b", 500, 1000)], "s string, k bigint, n bigint")
+    row = S.bootstrap(df, "s", "k", "n", 2000).first()
+    p, sd = 6500 / 11000, (10000 * 0.24 + 1000 * 0.25) ** 0.5 / 11000
+    assert abs(row.low - (p - 1.96 * sd)) < 0.2 * sd and abs(row.high - (p + 1.96 * sd)) < 0.2 * sd
+
+
+def test_binomials_follow_the_distribution_function():
+    from math import comb
+
+    for n, k in ((3, 1), (7, 6), (40, 13), (5, 0), (5, 5)):
+        p = k / n
+        below = [sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(j + 1)) for j in range(n + 1)]
+        us = [(i + 0.5) / 997 for i in range(997)]
+        assert S.binomials(n, k, S.np.array(us)).tolist() == [next(j for j, f in enumerate(below) if f >= u) for u in us]
