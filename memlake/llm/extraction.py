@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the running text in their blocks; the best one votes, under its generalised path of
-tags and classes, for its host. Spark counts the votes; a host's winning paths are its first one and those with a
+Each page's containers are scored by the running text in their blocks; from the best one up, ancestors are taken while they
+add unmarked blocks with few links, and the last one votes, under its generalised path of tags and classes, for its host. Spark counts the votes; a host's winning paths are its first one and those with a
 twentieth of its votes (so at most 21), and each page is read again through them. A page on which no winning path holds
 most of what its own best container holds is read through that container, so odd pages keep their text.
 
@@ -33,6 +33,10 @@ SPACES = {"br", "td", "th", "wbr", "img"}
 ASIDE = set("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu title object canvas input label fieldset".split())
 #: An open element that a start tag ends, and how far up to look for it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Containers that are part of what stands around them.
+PARTS = {"blockquote", "figure", "td", "th", "details"}
+#: A block of so many characters is prose; links may be the FEW_LINKS-th part of what an ancestor adds.
+PROSE, FEW_LINKS = 80, 4
 SCOPE = {"table", "td", "th", "button", "object", "caption"}
 
 #: Words in class, id or role that mark what isn't main text.
@@ -151,18 +155,57 @@ def best(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str | None, int
     return top if top[1] else (None, 0)
 
 
+def _tag(path: str) -> str:
+    return path.rpartition(">")[2].partition(".")[0]
+
+
+def _adds(path: str, top: str, found: list[tuple[tuple[str, ...], str, int]]) -> bool:
+    """Whether what an ancestor holds beside `top` belongs to the article: few links, and prose or the ancestor's own blocks.
+
+    An article or main element is one article. The body, and a container without blocks of its own, also hold sites' odd
+    lines: they count only if a block beside `top` has PROSE characters; the body's inner containers count only beside a PART.
+    """
+    beside = [(paths, len(t), linked) for paths, t, linked in found if path in paths and top not in paths]
+    size = sum(n for _, n, _ in beside)
+    if not size or FEW_LINKS * sum(linked for *_, linked in beside) > size:
+        return False
+    if _tag(path) in ("article", "main"):
+        return True
+    own = [n for paths, n, _ in beside if paths[-1] == path]
+    if path == "body" and len(own) < len(beside) and _tag(top) not in PARTS:
+        return False
+    return bool(own) or any(n >= PROSE for _, n, _ in beside)
+
+
+def article(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str | None, int]:
+    """The best container, or its widest ancestor that adds parts of the article: headings, leads, what stands around a quote."""
+    top, score = best(found)
+    around = next((paths[: paths.index(top)] for paths, *_ in found if top in paths), ())
+    for path in reversed(around):
+        if _tag(top) in ("article", "main"):
+            break
+        if _adds(path, top, found):
+            top = path
+        elif any(path in paths and top not in paths for paths, *_ in found):
+            break  # it adds what is no part of the article: so does all around it
+    return top, score
+
+
 def main_text(page: str, winners: list[str]) -> str:
-    """The page read through the first winning path that holds at least half of the text in its own best container."""
+    """The page read through the first winning path that holds at least half of the text in its own article; through the
+    latter if that path is only a part of it."""
     found = blocks(page)
-    own, _ = best(found)
+    own, _ = article(found)
     inside = {p: sum(len(t) for paths, t, _ in found if p in paths) for p in {*winners, own}}
     path = next((w for w in winners if inside[w] and 2 * inside[w] >= inside[own]), own)
+    if own and path.startswith(f"{own}>"):
+        path = own
     return "\n\n".join(text for paths, text, _ in found if path in paths)
 
 
 def _votes():
     def run(x: dict) -> dict:
-        tops = [best(blocks(p)) for p in x["_html"]]
+        tops = [article(blocks(p)) for p in x["_html"]]
         return {"_host": x["_host"], "path": [t[0] for t in tops], "score": [t[1] for t in tops]}
 
     return run

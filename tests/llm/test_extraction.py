@@ -29,6 +29,37 @@ def test_odd_markup():
     assert X.main_text("<article><p>" + "long words " * 50000 + "</p></article>", []) == ("long words " * 50000).strip()
 
 
+LEAD, BODY, SHORT = "lead words " * 30, "body words " * 70, "a short paragraph beside a long quote, and some more of it here. "
+
+
+def texts_of(*parts):
+    return "\n\n".join(" ".join(p.split()) for p in parts)
+
+
+def nested(inner):
+    return f'<body><nav><a href="/">home</a></nav><div class="top">Site name</div>{inner}<div class="more"><a href="/b">another page of ours</a> <a href="/c">a third page of ours</a></div><footer>end</footer></body>'
+
+
+NESTED = [
+    (f"<article><h1>T</h1><div class=intro>{LEAD}</div><div class=body>{BODY}</div></article>", texts_of("T", LEAD, BODY)),
+    (f"<div class=post><h1>T</h1><div class=lead><p>{LEAD}</p></div><div class=text><div class=in><p>{BODY}</p></div></div></div>", texts_of("T", LEAD, BODY)),
+    (f"<article><h1>T</h1><p>{SHORT}</p><blockquote>{BODY}</blockquote><p>{SHORT}</p></article>", texts_of("T", SHORT, BODY, SHORT)),
+    (f"<div class=post><p>{SHORT}</p><figure><p>{BODY}</p></figure><p>{SHORT}</p></div>", texts_of(SHORT, BODY, SHORT)),
+    (f"<article><p>{SHORT}</p><table><tr><td>{BODY}<td>{LEAD}</table><p>{SHORT}</p></article>", texts_of(SHORT, BODY, LEAD, SHORT)),
+    (f"<div class=a><p>{BODY}</p></div>", texts_of(BODY)),
+]
+
+
+def test_articles_keep_their_parts(spark):
+    for inner, want in NESTED:
+        assert X.main_text(nested(inner), []) == want, inner
+    rows = [(10 * k + i, f"https://h{k}.example.org/{i}", nested(inner)) for k, (inner, _) in enumerate(NESTED) for i in range(4)]
+    got = X.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert all(r.text == NESTED[r.page_id // 10][1] for r in got) and len(got) == len(rows)
+    inner, want = NESTED[0]
+    assert X.main_text(nested(inner), ["body>article>div.body"]) == want
+
+
 def page(i, rng, kind):
     body = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(5, 40))) for _ in range(rng.randrange(1, 8))]
     paragraphs = "".join(f"<p>{b}</p>" for b in body)
