@@ -314,10 +314,24 @@ SELECT a.conv_id, b.conv_id AS related, place FROM (SELECT a.conv_id, b.conv_id
 FROM c a JOIN c b ON a.workspace = b.workspace AND a.conv_id <> b.conv_id WHERE a.conv_id < 50) q JOIN c a ON a.conv_id = q.conv_id JOIN c b ON b.conv_id = q.rel WHERE place <= 3"""
 )
 def related_sessions(t):
+    return _related(t, F.col("conv_id") < 50)
+
+
+@R.query(
+    """WITH c AS (SELECT conv_id, count(*) AS n, CAST(conv_id % 10 AS BIGINT) AS workspace FROM conversations GROUP BY conv_id)
+SELECT conv_id, rel AS related, place FROM (SELECT a.conv_id, b.conv_id AS rel, row_number() OVER (PARTITION BY a.conv_id ORDER BY b.n DESC, b.conv_id DESC) AS place
+FROM c a JOIN c b ON a.workspace = b.workspace AND a.conv_id <> b.conv_id) WHERE place <= 3"""
+)
+def related_sessions_all(t):
+    """The same for every conversation."""
+    return _related(t, F.lit(True))
+
+
+def _related(t, asked):
     c = t.conversations.groupBy("conv_id").agg(F.count("*").alias("n")).withColumn("workspace", F.col("conv_id") % 10)
     # Each workspace's best four hold any member's best three others: the join meets four rows, not a whole workspace.
     best = W.top_per_key(c, ["workspace"], [F.desc("n"), F.desc("conv_id")], 4, "r").select("workspace", F.col("conv_id").alias("related"), F.col("n").alias("rn"))
-    pairs = c.filter("conv_id < 50").select("conv_id", "workspace").join(best, "workspace").filter("conv_id <> related")
+    pairs = c.filter(asked).select("conv_id", "workspace").join(F.broadcast(best), "workspace").filter("conv_id <> related")
     return W.top_per_key(pairs, ["conv_id"], [F.desc("rn"), F.desc("related")], 3, "place").select("conv_id", "related", F.col("place").cast("long").alias("place"))
 
 

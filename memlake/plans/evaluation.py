@@ -33,6 +33,14 @@ def judge_job_cross(t):
     return jobs.select(F.concat_ws(":", "item_id", "doc_id", F.lit("useful")).alias("job_id"), "item_id", "doc_id")
 
 
+@R.query("SELECT b.item_id || ':' || d.doc_id || ':useful' AS job_id, b.item_id, d.doc_id FROM benchmark b JOIN documents d ON b.item_id = d.doc_id % 30")
+def judge_jobs(t):
+    """A job for each candidate of each query, over all rows: a document is a candidate of one query."""
+    candidates = t.documents.select("doc_id", (F.col("doc_id") % 30).alias("item_id"))
+    jobs = candidates.join(F.broadcast(t.benchmark.filter("item_id between -29 and 29").select("item_id")), "item_id")
+    return jobs.select(F.concat_ws(":", "item_id", "doc_id", F.lit("useful")).alias("job_id"), "item_id", "doc_id")
+
+
 _GOLD = "SELECT l.doc_id, l.doc_id % 30 AS qid, l.quality = 1 AS a, d.n_chars % 5 <> 0 AS b FROM labels l JOIN documents d ON l.doc_id = d.doc_id"
 
 

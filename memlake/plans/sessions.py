@@ -174,6 +174,19 @@ def input_manifest(t):
     return rows.agg(F.max("n_chars").alias("longest"), F.count("*").alias("generation"), F.sha2(ids, 256).alias("input_hash"))
 
 
+@R.query(
+    """WITH b AS (SELECT source, doc_id // 4096 AS block, max(n_chars) AS longest, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY ALL)
+SELECT source, max(longest) AS longest, CAST(sum(n) AS BIGINT) AS generation, sha256(string_agg(digest, ',' ORDER BY block)) AS input_hash FROM b GROUP BY source"""
+)
+def input_manifest_all(t):
+    """Over all documents: ids are digested in blocks, then the blocks' digests, so that a hot source isn't one array."""
+    joined = lambda c: F.sha2(F.array_join(c, ","), 256)
+    ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
+    blocks = t.documents.groupBy("source", F.floor(F.col("doc_id") / 4096).alias("block")).agg(F.max("n_chars").alias("longest"), F.count("*").alias("n"), joined(ids).alias("digest"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"])
+    return blocks.groupBy("source").agg(F.max("longest").alias("longest"), F.sum("n").alias("generation"), joined(whole).alias("input_hash"))
+
+
 @R.query(
     """WITH s AS (SELECT d.doc_id % 30 AS qid, d.source, (d.n_chars % 997) / 997.0 AS score FROM documents d WHERE d.n_chars IS NOT NULL), q AS (SELECT qid, max(CASE WHEN source <> 'src0' THEN score END) AS best FROM s GROUP BY qid),
 o AS (SELECT DISTINCT source FROM documents WHERE source IN ('src0', 'src1', 'src2')), w AS (SELECT o.source AS removed, s.qid, max(s.score) AS top FROM o JOIN s ON s.source IN ('src0', 'src1', 'src2') AND s.source <> o.source GROUP BY ALL)

@@ -211,3 +211,16 @@ def test_binomials_follow_the_distribution_function():
         below = [sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(j + 1)) for j in range(n + 1)]
         us = [(i + 0.5) / 997 for i in range(997)]
         assert S.binomials(n, k, S.np.array(us)).tolist() == [next(j for j, f in enumerate(below) if f >= u) for u in us]
+
+
+def test_whole_table_queries_answer_every_row(spark, tmp_path):
+    from memlake.plans import catalogue
+
+    docs = [(i, f"src{i % 3}", 10 * i) for i in range(9000)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in range(40)], "item_id bigint").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i,) for i in range(100)], "conv_id bigint").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in run("judge_jobs")) == list(range(9000))
+    assert {r.conv_id for r in run("related_sessions_all")} == set(range(100))
+    assert {(r.source, r.generation, r.longest) for r in run("input_manifest_all")} == {("src0", 3000, 89970), ("src1", 3000, 89980), ("src2", 3000, 89990)}
