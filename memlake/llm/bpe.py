@@ -1,8 +1,9 @@
 """Byte-pair encoding and decoding of whole texts.
 
 A word's symbols stand in a doubly linked list; a heap of (merge rank, place) gives the next merge; an entry whose pair is
-no longer there is stale and is skipped. Decoding puts vocabulary strings together. The vocabulary, merges, normalizer,
-pre-tokenizer and added tokens come from a tokenizer's JSON file.
+no longer there is stale and is skipped. Decoding puts vocabulary strings together. The vocabulary, merges and added tokens
+come from a tokenizer's JSON file. So do normalizer and pre-tokenizer: a chunk with characters that Unicode's versions may
+treat differently (see chunks.settled) goes through the file's own.
 
 Null texts are read as empty: 0 tokens. Ids may be null or repeat: one row out for each row in.
 """
@@ -12,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from memlake.llm import chunks
 from memlake.llm.common import over_texts
 
-#: Words that a worker holds at once.
-CACHE_WORDS = 300_000
-#: The pre-tokenizer that byte-level files name by a flag only.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of pieces and what they give that a task holds at once.
+CACHE_BYTES = 64 << 20
 
 
 def byte_letters() -> list[str]:
@@ -52,17 +50,15 @@ class Codec:
         self.last = [self.vocab.get(c + self.end) for c in letters]
         self.bytes_of = {c: b for b, c in enumerate(letters)}
         self.lower = bool(spec["normalizer"])
-        pre = spec["pre_tokenizer"]
-        steps = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
-        self.pattern = regex.compile(next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), BYTE_LEVEL))
+        self.pattern = regex.compile(chunks.split_pattern(spec))
+        self.words_of = chunks.words_of(path)
         self.joins = "" if spec["decoder"] else " "
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
-        self.words: dict[str, list[int]] = {}
-        self.cache = chunks.Cache(lambda missing: [self._chunk(c) for c in missing])
+        self.cache = chunks.Cache(self._chunks, CACHE_BYTES, lambda x: 160 + len(x[1]) + len(x[2]))
+        self.path, self.own = path, None
 
-    def merge(self, word: str) -> list[int]:
+    def merge(self, raw: bytes) -> list[int]:
         """The ids of one pre-token."""
-        raw = word.encode("utf-8", "surrogatepass")
         sym = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
         sym = [s for s in sym if s is not None]
         n, merges = len(sym), self.merges
@@ -86,38 +82,42 @@ class Codec:
                 heapq.heappush(heap, (m[0], h))
         return [s for s in sym if s is not None]
 
-    def _word(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            found = self.words[word] = self.merge(word)
-        return found
+    def _words(self, chunk: str) -> list[bytes]:
+        """A chunk's pre-tokens; one that isn't settled is cut by the file's own normalizer and pre-tokenizer."""
+        if chunks.settled(chunk):
+            return [w.encode() for w in self.pattern.findall(chunk)]
+        if self.own is None:
+            from tokenizers import Tokenizer
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        ids = [i for w in self.pattern.findall(chunk) for i in self._word(w)]
-        return len(ids), " ".join(map(str, ids)), self.joins.join(self.names[i] for i in ids)
+            self.own = Tokenizer.from_file(self.path)
+        if self.lower:
+            chunk = self.own.normalizer.normalize_str(chunk)
+        return [bytes(map(self.bytes_of.__getitem__, piece)) for piece, _ in self.own.pre_tokenizer.pre_tokenize_str(chunk)]
+
+    def _chunks(self, missing: list[str]) -> list[tuple[int, str, str]]:
+        out = []
+        for chunk in missing:
+            ids = [i for w in self._words(chunk) for i in self.merge(w)]
+            out.append((len(ids), " ".join(map(str, ids)), self.joins.join(self.names[i] for i in ids)))
+        return out
 
     def _plain(self, text: str) -> list[str]:
-        if self.lower:
-            return chunks.lowered(text)
-        cut = chunks.spaced(text)
+        cut = self.words_of(text)
         return [text] if cut is None else cut
 
     def parts(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """For each text its chunks' numbers of ids, ids as text, and vocabulary strings put together."""
-        cut: list[list] = []
-        for t in texts:
+        """For each text its pieces' numbers of ids, ids as text, and vocabulary strings put together."""
+        cut: list[list[str]] = []
+        added: set[int] = set()
+        for i, t in enumerate(texts):
             if self.special and self.special.search(t):
-                row: list = []
-                for piece in self.special.split(t):
-                    row += [(1, str(self.added[piece]), piece)] if piece in self.added else self._plain(piece)
-                cut.append(row)
+                added.add(i)
+                cut.append([x for piece in self.special.split(t) for x in ([piece] if piece in self.added else self._plain(piece))])
             else:
                 cut.append(self._plain(t))
-        self.cache.load({c for row in cut for c in row if isinstance(c, str)})
-        get = self.cache.__getitem__
-        return [[x for c in row if (x := get(c) if isinstance(c, str) else c)[0]] for row in cut]
+        get = self.cache.load({c for row in cut for c in row}.difference(self.added))
+        one = {s: (1, str(i), s) for s, i in self.added.items()}
+        return [[x for c in row if (x := (one.get(c) or get(c)) if i in added else get(c))[0]] for i, row in enumerate(cut)]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.parts([text])[0] for i in ids.split(" ")]
@@ -135,14 +135,9 @@ class Codec:
         return out.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
-
-
 def _coder(path: str):
     def make():
-        own = codec(path)
+        own = Codec(path)
 
         def run(x: dict) -> dict:
             out: dict = {"_key": x["_key"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
@@ -160,7 +155,7 @@ def _coder(path: str):
 
 def _ids(path: str):
     def make():
-        own = codec(path)
+        own = Codec(path)
         return lambda x: {"_key": x["_key"], "ids": [[int(i) for _, ids, _ in row for i in ids.split(" ")] for row in own.parts(x["_text"])]}
 
     return make
@@ -179,7 +174,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", key: str =
     """key, text: what the ids read."""
 
     def make():
-        own = codec(tokenizer_path)
+        own = Codec(tokenizer_path)
         return lambda x: {"_key": x["_key"], "text": [own.decode(i) for i in x["_ids"]]}
 
     rows = encoded.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))

@@ -37,27 +37,28 @@ OVERLAP = 32
 MARGIN = 0.6
 #: A list with more members than this is settled on whole sets.
 SHORT = 32
-#: Words whose hashes a worker holds at once.
-CACHE_WORDS = 400_000
+#: Words whose hashes a task holds at once, and the longest that it holds, in bytes.
+CACHE_WORDS, LONG_WORD = 100_000, 64
 
 
-class _Words(dict):
+class Words(dict):
+    """Words to their hashes."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-_WORDS = _Words()
-
-
-def shingles(text: str, width: int) -> np.ndarray:
+def shingles(text: str, width: int, known: Words | None = None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only ASCII is lower-cased and white space
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map((Words() if known is None else known).__getitem__, words), np.uint64, len(words))
     width = min(width, len(ids))
     out = np.full(len(ids) - width + 1, width, np.uint64)
     for k in range(width):
@@ -68,8 +69,10 @@ def shingles(text: str, width: int) -> np.ndarray:
 
 def _sketches(width: int):
     def make():
+        known = Words()
+
         def run(x: dict) -> dict:
-            sets = [shingles(t, width) for t in x["_text"]]
+            sets = [shingles(t, width, known) for t in x["_text"]]
             return {
                 "_key": x["_key"],
                 "n": [len(s) for s in sets],
@@ -84,7 +87,8 @@ def _sketches(width: int):
 
 def _sets(width: int):
     def make():
-        return lambda x: {"id": x["_key"], "full": [shingles(t, width).view(np.int64) for t in x["_text"]]}
+        known = Words()
+        return lambda x: {"id": x["_key"], "full": [shingles(t, width, known).view(np.int64) for t in x["_text"]]}
 
     return make
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,15 +23,10 @@ from memlake.llm.common import over_texts, written
 
 #: Pieces of one length that are ranked together, about.
 RANK_ROWS = 20_000
-#: Chunks that a worker holds at once.
-CACHE_CHUNKS = 1_000_000
-#: What may follow a word in its chunk; the pre-tokenizer always cuts there.
-TAIL = ".,;:!?&%*$#|"
 
 
-@lru_cache(maxsize=2)
 def _id_bytes(path: str):
-    """Texts to their ids as little-endian 32-bit numbers; it lives as long as the worker."""
+    """Texts to their ids as little-endian 32-bit numbers; its cache lives as long as the task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -44,26 +38,12 @@ def _id_bytes(path: str):
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    lower = tok.normalizer is not None
-
-    def encode(missing: list[str]) -> list[bytes]:
-        """Words and what follows them apart, so that a word is encoded once whatever follows it."""
-        words = [c.rstrip(TAIL) if lower else c for c in missing]
-        words = [w if w.isalpha() else c for w, c in zip(words, missing, strict=True)]
-        tails = [c[len(w) :] for w, c in zip(words, missing, strict=True)]
-        new = [x for x in {*words, *tails} if x and x not in cache]
-        found = dict(zip(new, whole(new), strict=True)) | {"": b""}
-        for x in {*words, *tails} - found.keys():
-            found[x] = cache[x]
-        cache.update((x, found[x]) for x in new)
-        return [found[w] + found[t] for w, t in zip(words, tails, strict=True)]
-
-    cache = chunks.Cache(encode, CACHE_CHUNKS)
+    cache = chunks.Cache(whole)
+    words = chunks.words_of(path)
 
     def run(texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in special) else chunks.lowered(t) if lower else chunks.spaced(t) for t in texts]
-        cache.load(set().union(*(c for c in cut if c)))
-        get = cache.__getitem__
+        cut = [None if any(s in t for s in special) else words(t) for t in texts]
+        get = cache.load(set().union(*(c for c in cut if c)))
         rest = iter(whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(rest) if c is None else b"".join(map(get, c)) for c in cut]
 

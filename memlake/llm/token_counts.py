@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +27,8 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-@lru_cache(maxsize=4)
 def counter(path: str):
-    """A function from texts to token counts as the library for this file gives them; it lives as long as the worker."""
+    """A function from texts to token counts as the library for this file gives them; its cache lives as long as the task."""
     if path.endswith(".model"):
         import sentencepiece
 
@@ -54,12 +52,11 @@ def counter(path: str):
     if spec["normalizer"] or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space"):
         return whole
     special = [t["content"] for t in spec["added_tokens"]]
-    cache = chunks.Cache(whole)
+    cache = chunks.Cache(whole, weigh=lambda n: 0)
 
     def by_chunks(texts: list[str]) -> list[int]:
         cut = [None if any(s in t for s in special) else chunks.spaced(t) for t in texts]
-        cache.load(set().union(*(c for c in cut if c)))
-        get = cache.__getitem__
+        get = cache.load(set().union(*(c for c in cut if c)))
         rest = iter(whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
         return [next(rest) if c is None else sum(map(get, c)) for c in cut]
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -8,7 +9,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from memlake.llm import bpe, packing, token_counts
+from memlake.llm import bpe, chunks, packing, token_counts
 
 WORD, BYTE, PIECE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 SCHEMA = "doc_id bigint, text string, digest string"
@@ -37,6 +38,41 @@ def test_round_trip_equals_library(docs):
     assert Counter(map(tuple, bpe.round_trip(docs, WORD).collect())) == want
 
 
+def coders():
+    own, packer, tok = bpe.Codec(WORD), packing._id_bytes(WORD), Tokenizer.from_file(WORD)
+    tok.no_truncation()
+
+    def differ(texts):
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        op6 = [[int(i) for _, ids, _ in row for i in ids.split(" ")] for row in own.parts(texts)]
+        op5 = [np.frombuffer(b, "<u4").tolist() for b in packer(texts)]
+        return [t for t, a, b, c in zip(texts, want, op6, op5, strict=True) if not a == b == c]
+
+    return differ
+
+
+def test_ids_equal_library_over_unicode():
+    """Every code point up to U+3100 and each 89th of the others, in three contexts; pairs of combining and unassigned ones."""
+    differ, rng = coders(), random.Random(3)
+    points = [chr(i) for i in range(0x110000) if (i < 0x3100 or i % 89 == 0) and not 0xD800 <= i < 0xE000]
+    for form in ("a{0}b", "1{0}!", "A{0}. É{0}"):
+        assert not differ([form.format(c) for c in points])
+    marks = [c for c in points if unicodedata.category(c) in ("Mn", "Mc", "Cn")]
+    assert not differ(["a" + rng.choice(marks) + rng.choice(marks) + rng.choice("bé .1") for _ in range(5000)])
+
+
+def test_cache_is_bounded_in_bytes():
+    seen = []
+    cache = chunks.Cache(lambda new: seen.append(len(new)) or [c.upper() for c in new], limit=50_000)
+    for k in range(40):
+        wanted = {f"w{k}-{i}" for i in range(20)} | {"hot", "x" * 10_000 + str(k)}
+        get = cache.load(wanted)
+        assert all(get(c) == c.upper() for c in wanted)
+        assert cache.bytes <= 50_000 and "x" * 10_000 + str(k) not in cache.held
+    get = cache.load(wanted := {f"all{i}" for i in range(2000)} | {"hot"})
+    assert all(get(c) == c.upper() for c in wanted) and cache.bytes <= 50_000
+
+
 def test_byte_level_codec_equals_library():
     tok, own = Tokenizer.from_file(BYTE), bpe.Codec(BYTE)
     for t in [x or "" for x in ODD] + fuzz():
