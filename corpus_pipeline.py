@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm import near_dup, packing, pii, quality
-from memlake.llm.common import written
+from memlake.llm.common import dropped, scratch, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents, each written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as made:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(*before, *made[:-1])  # what the stage read, and what it made on the way
+        before = made[-1:]
     return docs
