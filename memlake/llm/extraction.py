@@ -5,6 +5,9 @@ add unmarked blocks with few links, and the last one votes, under its generalise
 twentieth of its votes (so at most 21), and each page is read again through them. A page on which no winning path holds
 most of what its own best container holds is read through that container, so odd pages keep their text.
 
+What names itself menu, header, advert, comment and the like (as a class, an id or part of one) doesn't count, but for a
+wrapper that holds most of the page's running text; an article's h1 stays wherever it is.
+
 Blocks are joined by two line feeds, white space in a block is one space, character references are decoded.
 Null and empty pages give an empty text. Ids may be null or repeat, a null url is host "": one row out for each row in.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +33,17 @@ RAW = set("script style textarea title iframe xmp noembed noframes".split())
 CONTAINERS = set("div article section main td th center blockquote figure details".split())
 BLOCKS = CONTAINERS | set("address aside body dd dl dt fieldset figcaption footer form h1 h2 h3 h4 h5 h6 header hr li nav ol p pre table tbody thead tfoot tr caption ul html head summary".split())
 SPACES = {"br", "td", "th", "wbr", "img"}
-#: Elements that are never main text.
-ASIDE = set("nav header footer aside form script style noscript template iframe svg button select textarea dialog menu title object canvas input label fieldset".split())
+#: Elements that are never main text, and those that aren't unless they hold the page (see Page.kept).
+ASIDE = set("nav footer aside script style noscript template iframe svg button select textarea dialog menu title object canvas input label".split())
+DOUBTED = {"header", "form", "fieldset"}
 #: An open element that a start tag ends, and how far up to look for it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Containers that are part of what stands around them.
 PARTS = {"blockquote", "figure", "td", "th", "details"}
 #: A block of so many characters is prose; links may be the FEW_LINKS-th part of what an ancestor adds.
 PROSE, FEW_LINKS = 80, 4
+#: A part of so many that a wrapper without heading may leave outside.
+LITTLE = 20
 SCOPE = {"table", "td", "th", "button", "object", "caption"}
 
 #: Words in class, id or role that mark what isn't main text.
@@ -45,168 +52,259 @@ MARKS = set(
     "notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist respond reply replies disqus related recommended recommendations "
     "breadcrumb breadcrumbs pagination pager widget toolbar skip contentinfo complementary search form".split()
 )
+#: Of these, words for what readers wrote, and for what stands above an article.
+READERS = set("comment comments commentlist respond reply replies disqus".split())
+ABOVE = {"header", "masthead"}
 
 
-def _attributes(given: str) -> tuple[str, bool]:
-    """Generalised classes, and whether class, id or role marks the element as no main text."""
-    classes, marked = "", False
+def _attributes(given: str) -> tuple[str, set[str], set[str]]:
+    """Generalised classes; the marks that are class, id or role by themselves; the marks that are part of one."""
+    classes, whole, part = "", set(), set()
     for name, *value in NAMES.findall(given):
         words = max(value, key=len).lower().split()
-        marked |= any(part in MARKS for w in words for part in re.split(r"[^a-z]+", w))
+        for w in words:
+            whole |= MARKS & {w}
+            part |= MARKS.intersection(re.split(r"[^a-z]+", w))
         if name.lower() == "class":
             classes = "".join(f".{g}" for g in sorted({re.sub(r"[0-9]+", "#", w) for w in words}))
-    return classes, marked
-
-
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """The page's blocks outside of menus, headers and the like: paths of the containers around it, text, characters in links."""
-    found: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []  # tag, container paths, dropped
-    paths: tuple[str, ...] = ("body",)
-    off, links, parts, linked, at = False, 0, [], [], 0
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                found.append((paths, text, min(len(text), len(" ".join(entities.unescape("".join(linked)).split())))))
-        parts.clear()
-        linked.clear()
-
-    def back_to(depth: int) -> None:
-        nonlocal paths, off, links
-        if any(tag in BLOCKS for tag, _, _ in stack[depth:]):
-            flush()
-        links -= sum(tag == "a" for tag, _, _ in stack[depth:])
-        del stack[depth:]
-        paths, off = (stack[-1][1], stack[-1][2]) if stack else (("body",), False)
-
-    while m := TOKEN.search(page, at):
-        if m.start() > at and not off:
-            parts.append(page[at : m.start()])
-            if links:
-                linked.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag not in ("html", "body", "head"):
+    return classes, whole, part
+
+
+class Page:
+    """A page's blocks, the paths of the containers around them, and what is in doubt.
+
+    Paths are numbered, a path after the one around it: `around`, `step` (tag and classes) and `tags` are lists by number; 0
+    is the body. Regions are elements whose tag or names say that they aren't main text; 0 is none. `blocks` are
+    (path, text, characters in links, region), `kept` those that count.
+    """
+
+    def __init__(self, page: str):
+        self.around, self.step, self.tags = [-1], ["body"], ["body"]
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.outer, self.kind, self.holds = [-1], [""], [0]  # by region; holds: 1 an article or main, 2 an h1 or main
+        self.blocks: list[tuple[int, str, int, int]] = []
+        self._read(page)
+        self.kept = self._kept()
+        n = len(self.around)
+        self.size, self.linked, self.many, self.prose, self.own = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+        for path, text, links in self.kept:
+            self.own[path] += 1
+            self.many[path] += 1
+            self.size[path] += len(text)
+            self.linked[path] += links
+            self.prose[path] += len(text) >= PROSE
+        for path in range(n - 1, 0, -1):  # what a path holds is in the one around it too
+            for held in (self.size, self.linked, self.many, self.prose):
+                held[self.around[path]] += held[path]
+
+    def _inner(self, path: int, tag: str, classes: str) -> int:
+        key = (path, tag + classes)
+        found = self.numbers.get(key)
+        if found is None:
+            found = self.numbers[key] = len(self.around)
+            self.around.append(path)
+            self.step.append(key[1])
+            self.tags.append(tag)
+        return found
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, int, bool]] = []  # tag, path, region, dropped
+        opened: Counter = Counter()
+        path = region = links = at = 0
+        off, last, parts, linked = False, max(page.rfind(">"), page.rfind("<!--")), [], []
+
+        def flush() -> None:
+            if parts:
+                text = " ".join(entities.unescape("".join(parts)).split())
+                if text:
+                    self.blocks.append((path, text, min(len(text), len(" ".join(entities.unescape("".join(linked)).split()))), region))
+            parts.clear()
+            linked.clear()
+
+        def back_to(depth: int) -> None:
+            nonlocal path, region, off, links
+            if any(tag in BLOCKS for tag, *_ in stack[depth:]):
+                flush()
+            for tag, *_ in stack[depth:]:
+                opened[tag] -= 1
+                links -= tag == "a"
+            del stack[depth:]
+            path, region, off = stack[-1][1:] if stack else (0, 0, False)
+
+        def end(tags: set[str], limit: set[str]) -> None:
+            if any(opened[t] for t in tags):
                 for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
+                    if stack[depth][0] in tags:
                         back_to(depth)
                         break
-                    if tag in ("b", "i", "a", "span", "em", "strong", "font", "u") and stack[depth][0] in BLOCKS - {"p"}:
-                        break  # an inline end tag doesn't end a block
-            continue
-        if tag in ("html", "body", "head"):
-            continue
-        if tag in BLOCKS and tag not in ENDS:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    back_to(depth)
-                    break
-                if stack[depth][0] in SCOPE:
-                    break
-        if tag in ENDS:
-            ended, limit = ENDS[tag]
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ended:
-                    back_to(depth)
-                    break
-                if stack[depth][0] in limit:
-                    break
-        if tag in BLOCKS and tag not in SPACES:
-            flush()
-        elif tag in SPACES and not off:
-            parts.append(" ")
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            continue
-        classes, marked = _attributes(m[3]) if m[3] else ("", False)
-        out = off or tag in ASIDE or (marked and tag not in ("p", "b", "i", "em", "strong"))
-        inner = (*paths, f"{paths[-1]}>{tag}{classes}") if tag in CONTAINERS else paths
-        if tag == "a":
-            links += 1
-        stack.append((tag, inner, out))
-        paths, off = inner, out
-    if not off:
-        parts.append(page[at:])
-    flush()
-    return found
-
-
-def scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, int]:
-    """For each container path the running text in its own blocks, half of that one level further in, and so on."""
-    out: dict[str, int] = {}
-    for paths, text, linked in found:
-        worth = 64 * max(0, len(text) - 2 * linked)
-        for path in reversed(paths):
-            out[path] = out.get(path, 0) + worth
-            worth //= 2
-    return out
-
-
-def best(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str | None, int]:
-    top = max(scores(found).items(), key=lambda x: (x[1], x[0]), default=(None, 0))
-    return top if top[1] else (None, 0)
-
-
-def _tag(path: str) -> str:
-    return path.rpartition(">")[2].partition(".")[0]
-
-
-def _adds(path: str, top: str, found: list[tuple[tuple[str, ...], str, int]]) -> bool:
-    """Whether what an ancestor holds beside `top` belongs to the article: few links, and prose or the ancestor's own blocks.
-
-    An article or main element is one article. The body, and a container without blocks of its own, also hold sites' odd
-    lines: they count only if a block beside `top` has PROSE characters; the body's inner containers count only beside a PART.
-    """
-    beside = [(paths, len(t), linked) for paths, t, linked in found if path in paths and top not in paths]
-    size = sum(n for _, n, _ in beside)
-    if not size or FEW_LINKS * sum(linked for *_, linked in beside) > size:
-        return False
-    if _tag(path) in ("article", "main"):
-        return True
-    own = [n for paths, n, _ in beside if paths[-1] == path]
-    if path == "body" and len(own) < len(beside) and _tag(top) not in PARTS:
-        return False
-    return bool(own) or any(n >= PROSE for _, n, _ in beside)
-
-
-def article(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str | None, int]:
-    """The best container, or its widest ancestor that adds parts of the article: headings, leads, what stands around a quote."""
-    top, score = best(found)
-    around = next((paths[: paths.index(top)] for paths, *_ in found if top in paths), ())
-    for path in reversed(around):
-        if _tag(top) in ("article", "main"):
-            break
-        if _adds(path, top, found):
-            top = path
-        elif any(path in paths and top not in paths for paths, *_ in found):
-            break  # it adds what is no part of the article: so does all around it
-    return top, score
-
-
-def main_text(page: str, winners: list[str]) -> str:
-    """The page read through the first winning path that holds at least half of the text in its own article; through the
-    latter if that path is only a part of it."""
-    found = blocks(page)
-    own, _ = article(found)
-    inside = {p: sum(len(t) for paths, t, _ in found if p in paths) for p in {*winners, own}}
-    path = next((w for w in winners if inside[w] and 2 * inside[w] >= inside[own]), own)
-    if own and path.startswith(f"{own}>"):
-        path = own
-    return "\n\n".join(text for paths, text, _ in found if path in paths)
+                    if stack[depth][0] in limit:
+                        break
+
+        while at <= last and (m := TOKEN.search(page, at)):
+            if m.start() > at and not off:
+                parts.append(page[at : m.start()])
+                if links:
+                    linked.append(page[at : m.start()])
+            at = m.end()
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            if tag in ("html", "body", "head"):
+                continue
+            if m[1]:
+                # an inline end tag doesn't end a block
+                end({tag}, BLOCKS - {"p"} if tag in ("b", "i", "a", "span", "em", "strong", "font", "u") else set())
+                continue
+            if tag in BLOCKS and tag not in ENDS:
+                end({"p"}, SCOPE)
+            if tag in ENDS:
+                end(*ENDS[tag])
+            if tag in BLOCKS and tag not in SPACES:
+                flush()
+            elif tag in SPACES and not off:
+                parts.append(" ")
+            if tag in RAW:
+                closed = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                at = closed.end() if closed else len(page)
+                continue
+            if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+                continue
+            classes, whole, part = _attributes(m[3]) if m[3] else ("", set(), set())
+            marks = set() if tag in ("b", "i", "em", "strong", "h1") else whole if tag == "p" else part
+            inner = self._inner(path, tag, classes) if tag in CONTAINERS else path
+            within = region
+            if tag in DOUBTED or marks:
+                # in an article a header is the article's own: its h1 stays
+                kind = "readers" if marks & READERS else "above" if tag == "header" or marks & ABOVE else "other"
+                within = len(self.outer)
+                self.outer.append(region)
+                self.kind.append("own" if kind == "above" and (opened["article"] or opened["main"]) else kind)
+                self.holds.append(0)
+            if tag == "h1" and self.kind[region] == "own":
+                within = self.outer[region]
+            if tag in ("article", "main", "h1"):
+                self.holds[within] |= {"article": 1, "main": 3, "h1": 2}[tag]
+            links += tag == "a"
+            opened[tag] += 1
+            stack.append((tag, inner, within, off or tag in ASIDE))
+            path, region, off = stack[-1][1:]
+        if not off:
+            parts.append(page[at:])
+        flush()
+
+    def _kept(self) -> list[tuple[int, str, int]]:
+        """The blocks outside of regions, and those of regions that hold most of the page's running text.
+
+        A region counts only if it also holds an article, main or h1, or next to nothing stands outside of all regions; one
+        that is named for readers' comments only if it holds main or h1.
+        """
+        n = len(self.outer)
+        running, holds = [0] * n, list(self.holds)
+        for _, text, links, region in self.blocks:
+            running[region] += max(0, len(text) - 2 * links)
+        outside = running[0]
+        for r in range(n - 1, 0, -1):
+            holds[self.outer[r]] |= holds[r]
+            running[self.outer[r]] += running[r]
+        readers = [self.kind[r] == "readers" and not holds[r] & 2 for r in range(n)]
+        said = [False] * n
+        for r in range(1, n):
+            said[r] = said[self.outer[r]] or readers[r]
+        total = running[0] - sum(running[r] for r in range(1, n) if said[r] and not said[self.outer[r]])
+        counts = [True] * n
+        for r in range(1, n):
+            most = not said[r] and 2 * running[r] > total
+            counts[r] = counts[self.outer[r]] and most and bool(holds[r] or LITTLE * outside <= running[r])
+        return [(path, text, links) for path, text, links, region in self.blocks if counts[region]]
+
+    def path(self, number: int) -> str:
+        steps = []
+        while number >= 0:
+            steps.append(self.step[number])
+            number = self.around[number]
+        return " ".join(reversed(steps))
+
+    def number(self, path: str) -> int | None:
+        """The number of a path on this page."""
+        at: int | None = 0
+        for step in path.split(" ")[1:]:
+            if (at := self.numbers.get((at, step))) is None:
+                return None
+        return at
+
+    def scores(self) -> dict[int, int]:
+        """For each path the running text in its own blocks, half of that one level further in, and so on."""
+        out: dict[int, int] = {}
+        for path, text, links in self.kept:
+            worth = 64 * max(0, len(text) - 2 * links)
+            while worth and path >= 0:
+                out[path] = out.get(path, 0) + worth
+                worth //= 2
+                path = self.around[path]
+        return out
+
+    def _adds(self, path: int, top: int) -> bool:
+        """Whether what an ancestor holds beside `top` belongs to the article: few links, and prose or the ancestor's own blocks.
+
+        An article or main element is one article. The body, and a container without blocks of its own, also hold sites' odd
+        lines: they count only if a block beside `top` has PROSE characters; the body's inner containers count only beside a PART.
+        """
+        size, many = self.size[path] - self.size[top], self.many[path] - self.many[top]
+        if not size or FEW_LINKS * (self.linked[path] - self.linked[top]) > size:
+            return False
+        if self.tags[path] in ("article", "main"):
+            return True
+        if path == 0 and self.own[0] < many and self.tags[top] not in PARTS:
+            return False
+        return self.own[path] > 0 or self.prose[path] > self.prose[top]
+
+    def article(self) -> tuple[int | None, int]:
+        """The best container, or its widest ancestor that adds parts of the article: headings, leads, what stands around a
+        quote; and the best container's score."""
+        top, score = max(self.scores().items(), key=lambda x: (x[1], -x[0]), default=(None, 0))
+        if not score:
+            return None, 0
+        path = self.around[top]
+        while path >= 0 and self.tags[top] not in ("article", "main"):
+            if self._adds(path, top):
+                top = path
+            elif self.size[path] > self.size[top]:
+                break  # it adds what is no part of the article: so does all around it
+            path = self.around[path]
+        return top, score
+
+    def text(self, winners: list[str]) -> str:
+        """The page read through the first winning path that holds at least half of the text in its own article; through
+        the latter if that path is only a part of it."""
+        own, _ = self.article()
+        named = (self.number(w) for w in winners)
+        path = next((p for p in named if p is not None and self.size[p] and (own is None or 2 * self.size[p] >= self.size[own])), own)
+        if path is None:
+            return ""
+        around = path
+        while around >= 0:
+            if around == own:
+                path = own
+            around = self.around[around]
+        inside = [False] * len(self.around)
+        for p in range(len(inside)):
+            inside[p] = p == path or p > 0 and inside[self.around[p]]
+        return "\n\n".join(text for p, text, _ in self.kept if inside[p])
+
+
+def main_text(html: str, winners: list[str]) -> str:
+    return Page(html).text(winners)
 
 
 def _votes():
     def run(x: dict) -> dict:
-        tops = [article(blocks(p)) for p in x["_html"]]
-        return {"_host": x["_host"], "path": [t[0] for t in tops], "score": [t[1] for t in tops]}
+        out: dict = {"_host": x["_host"], "path": [], "score": []}
+        for html in x["_html"]:
+            page = Page(html)
+            top, score = page.article()
+            out["path"].append(None if top is None else page.path(top))
+            out["score"].append(score)
+        return out
 
     return run
 

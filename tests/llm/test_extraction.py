@@ -1,4 +1,6 @@
+import html.parser
 import random
+import time
 
 from memlake.llm import extraction as X
 
@@ -17,7 +19,9 @@ def test_one_page():
 
 
 def test_paths_are_generalised():
-    assert X.best(X.blocks(PAGE))[0] == "body>article.post-#"
+    page = X.Page(PAGE)
+    assert page.path(page.article()[0]) == "body article.post-#"
+    assert page.number("body article.post-#") == page.article()[0] and page.number("body div.none") is None
 
 
 def test_odd_markup():
@@ -57,7 +61,93 @@ def test_articles_keep_their_parts(spark):
     got = X.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert all(r.text == NESTED[r.page_id // 10][1] for r in got) and len(got) == len(rows)
     inner, want = NESTED[0]
-    assert X.main_text(nested(inner), ["body>article>div.body"]) == want
+    assert X.main_text(nested(inner), ["body article div.body"]) == want
+
+
+ARTICLE = f"<h1>Title</h1><p>{BODY}</p><p>{LEAD}</p>"
+WANT = texts_of("Title", BODY, LEAD)
+COMMENTS = f'<div id="comments"><h3>Replies</h3><article class="comment"><p>{"a reader says much " * 80}</p></article></div>'
+
+
+def test_marked_wrappers_keep_their_article():
+    for wrapped in (
+        f'<div class="layout has-sidebar"><article>{ARTICLE}</article><div class="sidebar"><p>{SHORT}</p></div></div>',
+        f'<div class="layout has-sidebar"><article>{ARTICLE}</article></div>{COMMENTS}',
+        f'<div id="search-results-page"><div class="text">{ARTICLE}</div></div>',
+        f'<form id="aspnetForm"><div class="text">{ARTICLE}</div></form>',
+        f'<form id="aspnetForm"><div class="has-footer"><div class="text">{ARTICLE}</div><div class="footer"><p>{SHORT}</p></div></div></form>',
+        f'<div class="page with-comments"><main>{ARTICLE}</main>{COMMENTS}</div>',
+        f"<article><header><p>by a writer</p><h1>Title</h1></header><p>{BODY}</p><p>{LEAD}</p></article>",
+        f'<article><h1 class="entry-header">Title</h1><p>{BODY}</p><p>{LEAD}</p></article>',
+        f'<article><div class="entry-header"><span>by a writer</span><h1>Title</h1></div><p>{BODY}</p><p>{LEAD}</p></article>',
+    ):
+        assert X.main_text(nested(wrapped), []) == WANT, wrapped[:80]
+
+
+def test_marked_parts_go():
+    for part in (COMMENTS, f'<p class="comment">{SHORT}</p>', f'<div class="ad-slot"><p>{SHORT * 3}</p></div>', f'<div class="newsletter-box">{SHORT}</div>', f"<form><p>{SHORT}</p></form>", f'<section class="related-posts"><p>{SHORT}</p></section>'):
+        assert X.main_text(nested(f"<article>{ARTICLE}{part}</article>"), []) == WANT, part[:60]
+
+
+def test_deep_and_odd_pages_take_linear_time():
+    began = time.process_time()
+    deep = "<div>" * 20_000 + f"<p>{BODY}</p>" + "</div>" * 20_000
+    assert X.main_text(deep, []) == texts_of(BODY)
+    assert X.main_text("<div>x" * 20_000, []).startswith("x")
+    assert X.main_text("<a " * 200_000, []) == ("<a " * 200_000).strip()
+    assert X.main_text('<div class="sidebar">' * 20_000 + "words", []) in ("", "words")
+    assert X.main_text("<p>a<table><tr><td>" * 5000, []) is not None
+    assert time.process_time() - began < 20
+
+
+class Plain(html.parser.HTMLParser):
+    """A slow reader of tidy pages: each piece of text with the open elements around it."""
+
+    def __init__(self, text):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found = [], []
+        self.feed(text)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "p":
+            while "p" in self.open:
+                self.open.pop()
+        if tag == "br":
+            self.found.append(([*self.open], " "))
+        if tag not in ("br", "meta", "img", "link", "hr"):
+            self.open.append(tag)
+            self.found.append(([*self.open], None))
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            self.found.append(([*self.open], None))
+
+    def handle_data(self, text):
+        self.found.append(([*self.open], text))
+
+
+def test_bundled_pages_beside_a_plain_reader(spark):
+    """Every page of the bundled table against a reader that knows its articles' element and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    wanted = {}
+    for r in pages.collect():
+        blocks, now = [], ""
+        for around, text in Plain(r.html).found:
+            if text is None and around[-1:] and around[-1] in ("b", "i", "a", "span", "em"):
+                continue
+            if text is None:
+                blocks.append(now)
+                now = ""
+            elif "article" in around and not {"nav", "aside", "footer", "form", "script", "style"} & set(around):
+                now += text
+        wanted[r.page_id] = "\n\n".join(" ".join(b.split()) for b in [*blocks, now] if b.strip())
+    got = {r.page_id: r.text for r in X.extract_text(pages).collect()}
+    assert got.keys() == wanted.keys()
+    differ = [k for k in got if got[k].split() != wanted[k].split()]
+    assert not differ, (len(differ), got[differ[0]][:300], wanted[differ[0]][:300])
 
 
 def page(i, rng, kind):
