@@ -16,7 +16,7 @@ from collections.abc import Callable
 import regex
 
 #: Bytes of chunks and what belongs to them that a task holds at once, and characters of a chunk that is held.
-CACHE_BYTES, LONG = 48 << 20, 256
+CACHE_BYTES, LONG = 40 << 20, 256
 #: Bytes of an entry besides its characters: two objects and their place in the table, about.
 ENTRY = 200
 

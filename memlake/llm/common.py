@@ -17,9 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of what a batch function gets at once; a single row may be larger.
-BATCH_ROWS, BATCH_BYTES = 400, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 400, 2 << 20
 #: Bytes of an Arrow batch between the JVM and Python, where the session doesn't say.
-ARROW_BYTES = "16m"
+ARROW_BYTES = "4m"
 #: A side is broadcast only if it was measured to be no larger than this.
 BROADCAST_BYTES = 32 << 20
 

@@ -61,7 +61,7 @@ def _attributes(given: str) -> tuple[str, set[str], set[str]]:
     """Generalised classes; the marks that are class, id or role by themselves; the marks that are part of one."""
     classes, whole, part = "", set(), set()
     for name, *value in NAMES.findall(given):
-        words = max(value, key=len).lower().split()
+        words = max(value, key=len).lower().replace(">", "").split()  # ">" stands between the steps of a path
         for w in words:
             whole |= MARKS & {w}
             part |= MARKS.intersection(re.split(r"[^a-z]+", w))
@@ -222,12 +222,12 @@ class Page:
         while number >= 0:
             steps.append(self.step[number])
             number = self.around[number]
-        return " ".join(reversed(steps))
+        return ">".join(reversed(steps))
 
     def number(self, path: str) -> int | None:
         """The number of a path on this page."""
         at: int | None = 0
-        for step in path.split(" ")[1:]:
+        for step in path.split(">")[1:]:
             if (at := self.numbers.get((at, step))) is None:
                 return None
         return at
@@ -292,6 +292,16 @@ class Page:
         return "\n\n".join(text for p, text, _ in self.kept if inside[p])
 
 
+def blocks(html: str) -> Page:
+    return Page(html)
+
+
+def best(page: Page) -> tuple[str | None, int]:
+    """The path of the container that holds most running text, and its score."""
+    top, score = max(page.scores().items(), key=lambda x: (x[1], -x[0]), default=(None, 0))
+    return (page.path(top), score) if score else (None, 0)
+
+
 def main_text(html: str, winners: list[str]) -> str:
     return Page(html).text(winners)
 

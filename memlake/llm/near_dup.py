@@ -165,6 +165,24 @@ def _across(member: DataFrame, lists: DataFrame, condition) -> DataFrame:
     return left.join(right, "v").filter(apart & condition).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
 
 
+def _within_reach(place: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: members of different components that share a value so early that the similarity can still be reached.
+
+    What follows the shared value must hold at least percent / (100 + percent) of both sizes; so the smaller set, with more
+    than that after the value for two of its own size, is in high reach. Members that aren't meet only smaller ones that
+    are: texts that share a passage, but too little of it, meet no one.
+    """
+    n, left = F.col("n"), F.col("n") - F.col("at")
+    tagged = place.withColumn("high", left * (100 + percent) >= 2 * percent * n).join(lists, "v")
+    mine = tagged.filter("c != most").select("v", *[F.col(x).alias(f"{x}a") for x in ("id", "n", "at", "c", "high")])
+    yours = tagged.select("v", *[F.col(x).alias(f"{x}b") for x in ("id", "n", "at", "c", "high")], (F.col("c") == F.col("most")).alias("mostb"))
+    reach = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    larger = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("mostb") | (F.col("ida") < F.col("idb"))))
+    up = mine.filter("higha").join(yours, "v").filter((F.col("ca") != F.col("cb")) & larger & reach)
+    down = mine.join(yours.filter("mostb and highb"), "v").filter((F.col("nb") < F.col("na")) & reach)
+    return up.select(F.col("ida").alias("a"), F.col("idb").alias("b")).unionByName(down.select(F.col("ida").alias("a"), F.col("idb").alias("b"))).distinct()
+
+
 def _long_lists(member: DataFrame, lists: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links across components among the members of long lists, by the exact prefix and positional filter on whole sets.
 
@@ -179,8 +197,7 @@ def _long_lists(member: DataFrame, lists: DataFrame, texts: DataFrame, width: in
     ranked = held.withColumn("_held", F.count("*").over(by_set)).withColumn("_turn", F.row_number().over(by_set.orderBy("df", "v")))
     ranked = ranked.withColumn("at", F.col("n") - F.col("_held") + F.col("_turn") - 1)
     place = written(ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)).join(who, "id").select("v", "id", "n", "at", "c"), "places")
-    reach = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    pairs = written(_across(place, _open_lists(place), reach), "pairs")
+    pairs = written(_within_reach(place, _open_lists(place), percent), "pairs")
     found = _confirmed(pairs, full, percent)
     dropped(who, full, place, pairs)
     return found
@@ -196,13 +213,14 @@ def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     dropped(whole_table)
 
     # Inverted lists of the rarest retained values; one that a single class retains makes no pair but takes a place.
-    values = classes.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    values = classes.select("id", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     held = values.join(shared, "v")
     exact = math.floor(K * percent / 100)
     needed = F.when(F.col("n") <= exact, F.ceil(F.col("n") * percent / 100)).otherwise(OVERLAP)
-    by_class = Window.partitionBy("id", "n")
+    by_class = Window.partitionBy("id")
     ranked = held.withColumn("_held", F.count("*").over(by_class)).withColumn("_turn", F.row_number().over(by_class.orderBy("df", "v")))
+    ranked = ranked.join(classes.select("id", "n", F.size("sketch").alias("s")), "id")
     lists = written(ranked.filter(F.col("_turn") <= F.col("s") - needed + 1 - (F.col("s") - F.col("_held"))).select("id", "n", "v"), "lists")
     similar = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 

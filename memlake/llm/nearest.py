@@ -2,11 +2,12 @@
 
 Three rounds of random signs and a fast Hadamard transform rotate a unit vector; its hash is the nearest signed axis. A table
 joins two such hashes: of the whole rotated vector, and of the first LAST coordinates of another rotation. A query probes,
-in each table, the PROBES pairs of axes that cost least (squared distance lost), and every candidate found is scored
-exactly with the original vectors in double precision. Equal vectors are one class and meet queries once.
+in each table, the pairs of axes that cost least (squared distance lost), and every candidate found is scored exactly with
+the original vectors in double precision. How many pairs is fitted on a bounded sample of the queries, whose true neighbours
+come from comparing them with all rows. Equal vectors are one class and meet queries once.
 
-Entries and probes meet by the first axis in numpy, in salted groups of bounded size: a bucket is cut by its measured
-number of entries, and a group returns only its best few for each query, so no list of candidate pairs is ever made.
+Entries and probes meet by the first axis in numpy, in groups of bounded size: a bucket is cut by its measured numbers of
+entries and of queries, and a group returns only its best few for each query, so no list of candidate pairs is ever made.
 A query for which fewer than k are found is compared with all vectors in blocks, so small tables give all there is.
 
 Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id; vectors of
@@ -23,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import over_texts, written
+from memlake.llm.common import joined_small, over_texts, written
 
-TABLES, LAST, PROBES = 8, 32, 500
-#: Entries of a bucket that stand in one group, about.
-GROUP_ROWS = 8192
+TABLES, LAST = 8, 32
+#: Entries, and queries, of a bucket that stand in one group, about.
+GROUP_ROWS, GROUP_QUERIES = 8192, 4096
+#: The number of probes is fitted on so many queries at most: their true neighbours are found by comparing them with all rows,
+#: and this part of them must be reached.
+SAMPLE, RECALL = 128, 0.97
 
 
 def _fast_hadamard(x: np.ndarray) -> np.ndarray:
@@ -134,7 +138,7 @@ def _entries(kind: str):
 def _probing(kind: str, many: int):
     def make():
         def run(x: dict) -> dict:
-            out: dict = {k: [] for k in ("bucket", "qid", "codes", "qvec")}
+            out: dict = {k: [] for k in ("bucket", "qid", "codes")}
             for own in _by_length(x["vec"]):
                 vectors = _vectors([x["vec"][i] for i in own], kind)
                 for t in range(TABLES):
@@ -143,7 +147,6 @@ def _probing(kind: str, many: int):
                             out["bucket"].append(t + TABLES * first)
                             out["qid"].append(x["cid"][i])
                             out["codes"].append(second)
-                            out["qvec"].append(x["vec"][i])
             return out
 
         return run
@@ -179,6 +182,59 @@ def _meet(kind: str, k: int):
     return run
 
 
+def _closest(kind: str, k: int, asked: dict[int, tuple[list[int], np.ndarray]]):
+    """For each batch of classes the k best of each asked query, by length: ids and unit vectors."""
+
+    def make():
+        def run(x: dict) -> dict:
+            out: dict = {c: [] for c in ("qid", "cid", "score", "vec")}
+            for own in _by_length(x["vec"]):
+                ids, queries = asked.get(len(x["vec"][own[0]]), ([], None))
+                if ids:
+                    vectors = _vectors([x["vec"][i] for i in own], kind)
+                    score = queries @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
+                    score[np.array(ids)[:, None] == np.array([x["cid"][i] for i in own])[None]] = -np.inf
+                    for q, row in zip(ids, score, strict=True):
+                        for i in np.argsort(-row, kind="stable")[:k].tolist():
+                            if row[i] > -np.inf:
+                                for c, v in (("qid", q), ("cid", x["cid"][own[i]]), ("score", float(row[i])), ("vec", x["vec"][own[i]])):
+                                    out[c].append(v)
+            return out
+
+        return run
+
+    return make
+
+
+def turn_found(query: np.ndarray, neighbour: np.ndarray) -> int:
+    """With how many probes the query finds the neighbour, in its best table."""
+    turns = []
+    for t in range(TABLES):
+        costs = []
+        for part, last in ((0, None), (1, LAST)):
+            r = rotated(query[None] / np.linalg.norm(query), t, part)[0, :last]
+            signed = np.stack([r, -r], 1).ravel()
+            costs.append((signed.max() - signed) ** 2)
+        first, second = (int(c[0]) for c in codes(neighbour[None], t))
+        turns.append(int(((costs[0][:, None] + costs[1][None]) <= costs[0][first] + costs[1][second]).sum()))
+    return min(turns)
+
+
+def fitted_probes(classes: DataFrame, query_classes: DataFrame, kind: str, k: int) -> int:
+    """The least number of probes that reaches RECALL of the true neighbours of up to SAMPLE queries."""
+    sample = query_classes.orderBy(F.xxhash64("cid", F.lit(3)), "cid").limit(SAMPLE).collect()
+    asked: dict[int, tuple[list[int], np.ndarray]] = {}
+    for own in _by_length([r["vec"] for r in sample]):
+        vectors = _vectors([sample[i]["vec"] for i in own], kind)
+        asked[len(sample[own[0]]["vec"])] = [sample[i]["cid"] for i in own], vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    best = over_texts(classes.select("cid", "vec"), _closest(kind, k, asked), "qid bigint, cid bigint, score double, vec binary")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    true = best.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= k).select("qid", "vec").collect()  # at most SAMPLE * k
+    of = {r["cid"]: _vectors([r["vec"]], kind)[0] for r in sample}
+    turns = sorted(turn_found(of[r["qid"]], _vectors([r["vec"]], kind)[0]) for r in true)
+    return turns[max(0, int(np.ceil(RECALL * len(turns))) - 1)] if turns else 1
+
+
 _FOUND = "qid bigint, cid bigint, score double"
 
 
@@ -192,7 +248,7 @@ def _best(found: DataFrame, classes: DataFrame, queries: DataFrame, k: int) -> D
     return rows.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, many: int = PROBES, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, many: int | None = None, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that the column is_query picks its k nearest of all other rows."""
     kind = "<f4" if "float" in vectors.schema[vec].dataType.simpleString() else "<f8"
     rows = vectors.select(F.col(key).cast("long").alias("_key"), F.col(vec).alias("_vec"), is_query.alias("_asks"))
@@ -206,13 +262,20 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, many: int = PROBES, vec: s
     queries = written(asked.select(F.col("cid").alias("qid"), F.col("_key").alias("query_id")), "queries")
     query_classes = classes.join(queries.select(F.col("qid").alias("cid")).distinct(), "cid", "left_semi").select("vec", "cid")
 
+    many = many or fitted_probes(classes, query_classes, kind, k)
     entries = over_texts(classes.select("cid", "vec"), _entries(kind), "bucket int, cid bigint, code int, vec binary")
-    sizes = {r["bucket"]: r["count"] for r in entries.groupBy("bucket").count().collect()}  # a row for each table and axis
-    parts = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(-(-n // GROUP_ROWS))) for b, n in sizes.items() if n > GROUP_ROWS], F.lit(1))
-    entries = entries.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(5)), parts).cast("int"))
-    probing = over_texts(query_classes, _probing(kind, many), "bucket int, qid bigint, codes array<int>, qvec binary")
-    probing = probing.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    met = entries.groupBy("bucket", "part").cogroup(probing.groupBy("bucket", "part")).applyInArrow(_meet(kind, k), _FOUND)
+    probing = written(over_texts(query_classes, _probing(kind, many), "bucket int, qid bigint, codes array<int>"), "probes")
+    # A row for each table and axis: how many parts its entries and its queries make.
+    parts = entries.groupBy("bucket").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("_parts"))
+    shares = probing.groupBy("bucket").agg(F.ceil(F.count("*") / GROUP_QUERIES).alias("_shares"))
+    plan = F.broadcast(written(parts.join(shares, "bucket"), "buckets"))
+    cut = lambda c, n: F.pmod(F.xxhash64(c, F.lit(5)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    entries = entries.join(plan, "bucket").withColumn("part", cut("cid", F.col("_parts"))).withColumn("share", each(F.col("_shares"))).drop("_parts", "_shares")
+    probing = probing.join(plan, "bucket").withColumn("share", cut("qid", F.col("_shares"))).withColumn("part", each(F.col("_parts"))).drop("_parts", "_shares")
+    measured = query_classes.agg(F.sum(F.length("vec") + 16)).first()[0] or 0
+    probing = joined_small(probing, query_classes.select(F.col("cid").alias("qid"), F.col("vec").alias("qvec")), ["qid"], "inner", measured, salts=1)
+    met = entries.groupBy("bucket", "part", "share").cogroup(probing.groupBy("bucket", "part", "share")).applyInArrow(_meet(kind, k), _FOUND)
     met = written(met, "met")
     found = written(_best(met, classes, queries, k), "found")
 

@@ -23,7 +23,7 @@ from memlake.llm.common import dropped, over_texts, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds to, in the order of their spans after the base spans.
-MORE = ("email_text", "iban", "name", "national_id", "phone_local")
+MORE = ("email_text", "iban", "name", "national_id", "phone_local", "birth_date", "address")
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -31,18 +31,24 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+# Gazetteers and cue words.
+FIRST_NAMES = set("james mary john patricia robert jennifer michael linda david elizabeth william barbara thomas susan peter anna maria jose juan ana luis carmen hans klaus petra sabine jean marie pierre sophie louis claire paul laura".split())
+DOMAINS = set("com org net edu gov io co uk de fr es eu info gmail yahoo hotmail outlook example mail".split())
+COUNTRIES = set("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
+
 CANDIDATES = {
     "email_text": re.compile(r"\b[A-Za-z0-9._%+-]{2,} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b"),
-    "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|M|Sr|Sra)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?|\b(?:name is|named) [A-Z][a-z]+(?: [A-Z][a-z]+)?"),
+    "name": re.compile(r"\b(?:" + "|".join(sorted(n.title() for n in FIRST_NAMES)) + r") [A-Z][a-z]{2,}\b|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|M|Sr|Sra)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?|\b(?:name is|named) [A-Z][a-z]+(?: [A-Z][a-z]+)?"),
     "national_id": re.compile(r"\b[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}\b"),
     "phone_local": re.compile(r"(?<![\w+.])\(?[0-9]{3,5}\)?[ ./-][0-9]{2,4}[ ./-]?[0-9]{3,5}(?![\w])"),
+    "birth_date": re.compile(r"(?i:\b(?:born|birth|birthday|dob|geboren|geburtsdatum|née?|naissance|nacid[oa]|nacimiento))\b[^\n0-9]{0,20}((?:[0-9]{1,2}[./-]){2}[0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})\b"),
+    "address": re.compile(
+        r"\b[0-9]{1,5} (?:[A-Z][a-z]+ ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard)\b|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|gasse|platz|allee) [0-9]{1,4}[a-z]?\b"
+        r"|\b[0-9]{1,4},? (?:rue|avenue|boulevard|place) (?:de |du |des |la |le ){0,2}[A-ZÉ][a-zàâçéèêîôû]+|\b(?:Calle|Avenida|Plaza) (?:de |del |la ){0,2}[A-Z][a-záéíñóú]+,? [0-9]{1,4}\b"
+    ),
 }
 
-# Gazetteers and cue words.
-FIRST_NAMES = set("james mary john patricia robert jennifer michael linda david elizabeth william barbara thomas susan peter anna maria jose juan ana luis carmen hans klaus petra sabine jean marie pierre sophie louis claire paul laura".split())
-DOMAINS = set("com org net edu gov io co uk de fr es eu info gmail yahoo hotmail outlook example mail".split())
-COUNTRIES = set("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split())
 FOR = re.compile(r"(?i)\b(?:tel|phone|call|fax|mobile|cell|contact|e-?mail|mail|write|reach|card|visa|ssn|social security|id|iban|account|name|mr|mrs|ms|dr|telefon|t[ée]l[ée]phone|tel[ée]fono)\b[^\n]{0,20}\Z")
 AGAINST = re.compile(r"(?i)\b(?:isbn|version|page|pages|order|invoice|part|model|figure|table|chapter|total|price|section|serial|build|ratio|score|year)\b[^\n]{0,12}\Z")
 LABELERS = ("format", "checksum", "gazetteer", "context", "neighbours")
@@ -114,7 +120,12 @@ def votes(text: str, kind: str, start: int, end: int) -> tuple[int, ...]:
         form, gazetteer = int(len(last) > 1), int(any(w.lower() in FIRST_NAMES for w in last))
     elif kind == "national_id":
         form, check = 1, -1 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
-    context = 1 if FOR.search(before) else -1 if AGAINST.search(before) else 0
+    elif kind == "birth_date":
+        year, *rest = sorted(map(int, re.findall("[0-9]+", value)), reverse=True)
+        form, check = 1, 1 if 1900 <= year <= 2030 and 1 <= min(rest) <= 12 and 1 <= max(rest) <= 31 else -1
+    elif kind == "address":
+        form, gazetteer = 1, int(len(value.split()) > 1)
+    context = 1 if kind == "birth_date" or FOR.search(before) else -1 if AGAINST.search(before) else 0
     beside = before[-1:] + after
     return form, check, gazetteer, context, -1 if any(c.isalnum() or c == "_" for c in beside) else 1
 
@@ -176,18 +187,41 @@ def train(cells: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray
     return cells[x @ beta >= 0]
 
 
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def _free(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of spans those that share no character with taken; both in order."""
+    out, at = [], 0
+    for s, e in spans:
+        while at < len(taken) and taken[at][1] <= s:
+            at += 1
+        if at == len(taken) or taken[at][0] >= e:
+            out.append((s, e))
+    return out
+
+
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
     """Base spans, and (rank of the kind, start, end, cell) of the looser patterns' matches outside them and each other."""
     base = base_spans(text)
-    taken, found = [(s, e) for _, s, e in base], []
+    taken, found = _joined([(s, e) for _, s, e in base]), []
     digit = any(c in text for c in "0123456789")
     for k, kind in enumerate(MORE, len(KINDS)):
-        if not digit and kind in ("iban", "national_id", "phone_local"):
+        if not digit and kind not in ("email_text", "name"):
             continue
-        for m in CANDIDATES[kind].finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
-                taken.append(m.span())
-                found.append((k, *m.span(), cell(text, k, *m.span())))
+        pattern = CANDIDATES[kind]
+        new = _free([m.span(pattern.groups) for m in pattern.finditer(text)], taken)
+        if new:
+            taken = _joined(taken + new)
+            found += [(k, s, e, cell(text, k, s, e)) for s, e in new]
     return base, found
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from memlake.llm.common import dropped, over_texts, small_batches, written
+from memlake.llm.common import dropped, over_texts, sliced, small_batches, written
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -35,26 +35,43 @@ ORDER = 4
 SYMBOL = np.concatenate([np.full(128, 2, np.uint8), (98 + np.arange(128, 0x110000) % 30).astype(np.uint8)])
 SYMBOL[32:127] = np.arange(2, 97)
 SYMBOL[10] = 97
+SYMBOL[0] = 0  # in no text by then: it stands between texts
 LETTERS = 127
-#: Codes gathered before they are counted.
-GATHER = 4_000_000
+#: Codes gathered before they are counted, and characters whose codes a task holds at once, however long a text is.
+GATHER, WINDOW = 1_000_000, 1 << 18
 MODEL_BYTES = 256 << 20
 
 
 def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each character of the texts, and each text's first place."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-    padded = np.zeros(len(points) + 3 * len(texts), np.uint8)
-    shift = np.repeat(3 * np.arange(1, len(texts) + 1), sizes)
-    places = np.arange(len(points)) + shift
-    padded[places] = SYMBOL[points]
-    wide = padded.astype(np.uint32)
+    """The n-gram codes that end at each character of the texts, and each text's first place."""
+    joined = "\0\0\0" + "\0\0\0".join(t.replace("\0", "\1") if "\0" in t else t for t in texts)
+    symbols = SYMBOL[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
+    wide = symbols.astype(np.uint32)
     codes = wide[3:].copy()
     for k in (1, 2, 3):
         codes |= wide[3 - k : len(wide) - k] << np.uint32(7 * k)
-    return codes[places - 3], starts
+    sizes = np.array([len(t) for t in texts], np.int64)
+    return codes[symbols[3:] != 0], np.cumsum(sizes) - sizes
+
+
+def windows(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Codes of the texts in windows of bounded size: numbers of the texts (one, for a part of a long text), their
+    codes and first places."""
+    held: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        if held and size + len(text) > WINDOW:
+            yield held, *coded([texts[k] for k in held])
+            held, size = [], 0
+        if len(text) > WINDOW:
+            for at in range(0, len(text), WINDOW):
+                before = min(at, ORDER - 1)
+                yield [i], coded([text[at - before : at + WINDOW]])[0][before:], np.zeros(1, np.int64)
+        else:
+            held.append(i)
+            size += len(text)
+    if held:
+        yield held, *coded([texts[k] for k in held])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,16 +89,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.bincount(at, counts).astype(np.int64)
         totals[lang] = codes, counts
 
-    for batch in batches:
+    for batch in (b for whole in batches for b in sliced(whole)):
         by: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if text:
                 by.setdefault(lang, []).append(text)
         for lang, texts in by.items():
-            held.setdefault(lang, []).append(codes := coded(texts)[0])
-            waiting[lang] += len(codes)
-            if waiting[lang] >= GATHER:
-                settle(lang)
+            for _, codes, _ in windows(texts):
+                held.setdefault(lang, []).append(codes)
+                waiting[lang] += len(codes)
+                if waiting[lang] >= GATHER:
+                    settle(lang)
     for lang in list(held):
         settle(lang)
     for lang, (codes, counts) in totals.items():
@@ -178,14 +196,14 @@ def failed(n_words: int, n_repeat_words: int) -> bool:
 
 def perplexities(models: dict[str, Model], langs: list[str], texts: list[str]) -> np.ndarray:
     """Mean of minus log probability for each character of each text; NaN for empty texts and languages without a model."""
-    out = np.full(len(texts), np.nan)
+    sums = np.zeros(len(texts))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    known = np.array([bool(t) and k in models for k, t in zip(langs, texts, strict=True)], bool)
     for lang in dict.fromkeys(langs):
-        own = [i for i, x in enumerate(langs) if x == lang and texts[i]]
-        if own and lang in models:
-            codes, starts = coded([texts[i] for i in own])
-            sums = np.add.reduceat(models[lang].log_p(codes).astype(np.float64), starts)
-            out[own] = -sums / np.array([len(texts[i]) for i in own])
-    return out
+        own = [i for i, x in enumerate(langs) if x == lang and known[i]]
+        for numbers, codes, starts in windows([texts[i] for i in own]):
+            sums[[own[k] for k in numbers]] -= np.add.reduceat(models[lang].log_p(codes).astype(np.float64), starts)
+    return np.where(known, sums / np.maximum(sizes, 1), np.nan)
 
 
 def _judge(shared, finish: Callable[[dict, list, np.ndarray], dict]):

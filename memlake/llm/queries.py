@@ -24,7 +24,7 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), words_path=_tokenizer("word_bpe_49k.json"))
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,12 @@ Null texts are read as empty: no spans. Ids may be null or repeat: one row out f
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,8 +51,43 @@ WORDS = (
 # Keyboard rows with the place of their first key.
 ROWS = (("1234567890-=", 0.0), ("qwertyuiop[]", 0.5), ("asdfghjkl;'", 0.75), ("zxcvbnm,./", 1.25))
 
-RANK = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST = max(map(len, RANK))
+
+
+class Book:
+    """log10 guesses of words, most common first, and of repeated units met before."""
+
+    def __init__(self, words: Iterable[str]):
+        self.rank: dict[str, float] = {}
+        for w in words:
+            self.rank.setdefault(w, math.log10(len(self.rank) + 2))
+        self.longest = max(map(len, self.rank), default=0)
+        self.units: dict[str, float] = {}
+
+    def unit(self, unit: str) -> float:
+        found = self.units.get(unit)
+        if found is None:
+            found = guess_cost(unit, self)[0]
+            if len(unit) <= 64:
+                if len(self.units) >= 4096:
+                    self.units.clear()
+                self.units[unit] = found
+        return found
+
+
+PLAIN = Book(WORDS)
+
+
+def book(path: str | None) -> Book:
+    """The fixed words, then the whole words of a tokenizer's vocabulary, which stand there about by how common they are."""
+    if path is None:
+        return PLAIN
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    whole = (t.removesuffix(end) for t, _ in sorted(model["vocab"].items(), key=lambda x: x[1]) if t.endswith(end))
+    return Book([*WORDS, *(w for w in whole if len(w) >= 3 and w.isascii() and w.isalpha())])
+
+
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._ ]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._ ]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 KEYS = {c: (i + at, y) for y, (row, at) in enumerate(ROWS) for i, c in enumerate(row)}
@@ -77,16 +114,54 @@ def _lower(value: str) -> str:
     return low if len(low) == len(value) else "".join(x if len(x := c.lower()) == 1 else c for c in value)
 
 
+def _ranks(points: np.ndarray) -> list[np.ndarray]:
+    """For each power of two the rank of the span of that length at each place (cut at the end), equal for equal spans."""
+    levels, step = [np.unique(points, return_inverse=True)[1].astype(np.int64)], 1
+    while step < len(points):
+        now = levels[-1]
+        after = np.concatenate([now[step:] + 1, np.zeros(min(step, len(now)), np.int64)])
+        levels.append(np.unique(now * (len(now) + 1) + after, return_inverse=True)[1])
+        step *= 2
+    return levels
+
+
+def _alike(levels: list[np.ndarray], i: np.ndarray, j: np.ndarray, back: bool = False) -> np.ndarray:
+    """How many characters agree from places i and j on, or, back, before them; i < j."""
+    n, found = len(levels[0]), np.zeros(len(i), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        a, b = (i - found - (1 << k), j - found - (1 << k)) if back else (i + found, j + found)
+        fits = np.flatnonzero((a >= 0) & (b + (1 << k) <= n))
+        same = fits[levels[k][a[fits]] == levels[k][b[fits]]]
+        found[same] += 1 << k
+    return found
+
+
 def _runs(low: str) -> Iterator[tuple[int, int, int]]:
-    """(period, start, end) of the maximal spans that repeat a unit at least twice; the unit is itself no repeat."""
-    points, n = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4"), len(low)
-    for p in range(1, n // 2 + 1):
-        breaks = np.concatenate([[-1], np.flatnonzero(points[:-p] != points[p:]), [n - p]])
-        for k in np.flatnonzero(np.diff(breaks) > p).tolist():
-            start, end = int(breaks[k]) + 1, int(breaks[k + 1]) + p
-            unit = low[start : start + p]
-            if end - start >= _times(p) * p and (unit + unit).find(unit, 1) == p:
-                yield p, start, end
+    """(period, start, end) of the maximal spans that repeat a unit at least twice; the unit is itself no repeat.
+
+    Each such run has a place whose longest Lyndon word, in the alphabet's order or its reverse, is one of its units: so at
+    most two candidates a place, each extended to both sides by ranks of spans. Work grows like n log(n)**2.
+    """
+    points, n = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64), len(low)
+    if n < 2:
+        return
+    runs: set[tuple[int, int, int]] = set()
+    for turn in (1, -1):
+        levels = _ranks(turn * points)
+        order, smaller, waiting = levels[-1].tolist(), [n] * n, []
+        for i in range(n - 1, -1, -1):  # the next suffix that sorts before: where the longest Lyndon word at i ends
+            while waiting and order[waiting[-1]] > order[i]:
+                waiting.pop()
+            if waiting:
+                smaller[i] = waiting[-1]
+            waiting.append(i)
+        i, j = np.arange(n), np.array(smaller)
+        i, j = i[j < n], j[j < n]
+        end, start = j + _alike(levels, i, j), i - _alike(levels, i, j, back=True)
+        period = j - i
+        own = end - start >= np.where(period == 1, 3, 2 * period)
+        runs.update(zip(period[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True))
+    yield from sorted(runs)
 
 
 def _times(p: int) -> int:
@@ -94,34 +169,29 @@ def _times(p: int) -> int:
     return 3 if p == 1 else 2
 
 
-@lru_cache(4096)
-def _unit_cost(unit: str) -> float:
-    return guess_cost(unit)[0]
-
-
-def _repeats(low: str) -> Iterator[tuple[int, int, float, str]]:
+def _repeats(low: str, book: Book) -> Iterator[tuple[int, int, float, str]]:
     """All repeats; their number can grow with the square of the length, so guess_cost goes by runs."""
     for p, start, end in _runs(low):
         for i in range(start, end - _times(p) * p + 1):
             for j in range(i + _times(p) * p, end + 1, p):
-                yield i, j, _unit_cost(low[i : i + p]) + math.log10((j - i) // p + 1), "repeat"
+                yield i, j, book.unit(low[i : i + p]) + math.log10((j - i) // p + 1), "repeat"
 
 
-def _segments(value: str, repeats: bool = True) -> list[tuple[int, int, float, str]]:
+def _segments(value: str, book: Book = PLAIN, repeats: bool = True) -> list[tuple[int, int, float, str]]:
     """(start, end, log10 guesses, kind) of the spans that aren't brute force."""
     low = _lower(value)
     plain, n, found = low.translate(LEET), len(value), []
     for form, extra in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
         for i in range(n):
-            for j in range(i + 3, min(n, i + LONGEST) + 1):
-                if (cost := RANK.get(form[i:j])) is not None:
+            for j in range(i + 3, min(n, i + book.longest) + 1):
+                if (cost := book.rank.get(form[i:j])) is not None:
                     upper = sum(c.isupper() for c in value[i:j])
                     found.append((i, j, cost + extra + (0.3 if upper in (1, j - i) else 0.0 if not upper else 1.0), "word"))
     for i in range(n):
         if m := DATE.match(value, i):
             found.append((i, m.end(), DATE_GUESSES if m.end() - i > 4 else math.log10(150), "date"))
     if repeats:
-        found += _repeats(low)
+        found += _repeats(low, book)
     i = 0
     while i < n - 1:
         j = i + 1
@@ -134,11 +204,11 @@ def _segments(value: str, repeats: bool = True) -> list[tuple[int, int, float, s
     return found
 
 
-def guess_cost(value: str) -> tuple[float, list[str]]:
+def guess_cost(value: str, book: Book = PLAIN) -> tuple[float, list[str]]:
     """The least log10 guesses, and the kinds of the segments that give it."""
     n = len(value)
     ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-    for i, j, cost, kind in _segments(value, repeats=False):
+    for i, j, cost, kind in _segments(value, book, repeats=False):
         ending[j].append((i, cost, kind))
     low = _lower(value)
     opening: dict[int, list[tuple[int, int, int, dict]]] = {}  # runs by where their first repeat ends, with open starts by phase
@@ -157,7 +227,7 @@ def guess_cost(value: str) -> tuple[float, list[str]]:
         for p, start, _, phases in running:
             i = j - _times(p) * p
             starts = phases.setdefault((i - start) % p, [])
-            starts.append((i, done[i][0] + (JOIN if i else 0.0) + _unit_cost(low[i : i + p])))
+            starts.append((i, done[i][0] + (JOIN if i else 0.0) + book.unit(low[i : i + p])))
             left, least = [], math.inf
             for i, before in starts:  # an earlier start that is no dearer here stays so further on: later ones can go
                 if (cost := before + math.log10((j - i) // p + 1)) < least:
@@ -189,21 +259,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def context_values(text: str) -> list[tuple[int, int, float]]:
+def context_values(text: str, book: Book = PLAIN) -> list[tuple[int, int, float]]:
     """(start, end, log10 guesses) of the values that follow a credential word."""
     low = text.lower()
     if not any(s in low for s in STEMS):
         return []
-    return [(m.start(1), m.end(1), guess_cost(m[1].rstrip(".:!?)"))[0]) for m in CONTEXT.finditer(text)]
+    return [(m.start(1), m.end(1), guess_cost(m[1].rstrip(".:!?)"), book)[0]) for m in CONTEXT.finditer(text)]
+
 
+def _outside(values: list[tuple[int, int, float]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, float]]:
+    """The values that no base span holds; base in order of start."""
+    starts = [s for s, _, _ in base]
+    furthest = list(accumulate((e for _, _, e in base), max))
+    return [v for v in values if not (at := bisect_right(starts, v[0])) or furthest[at - 1] < v[1]]
 
-def _scan(threshold: float):
+
+def _scan(threshold: float, words_path: str | None):
     def make():
+        own = book(words_path)
+
         def run(x: dict) -> dict:
             out: dict = {k: [] for k in ("_key", "n_assign", "n_access", "n_hex", "n_guess", "max_guess_log10", "base_sha256", "spans")}
             for key, text in zip(x["_key"], x["_text"], strict=True):
-                base, values = base_spans(text), context_values(text)
-                added = [(s, 3, e) for s, e, cost in values if cost >= threshold and not any(b <= s and e <= f for b, _, f in base)]
+                base, values = base_spans(text), context_values(text, own)
+                added = [(s, 3, e) for s, e, cost in _outside(values, base) if cost >= threshold]
                 say = lambda found: ",".join(f"{(*KINDS, 'guess')[k]}:{s}:{e}" for s, k, e in found)
                 kinds = [k for _, k, _ in base]
                 out["_key"].append(key)
@@ -220,11 +299,12 @@ def _scan(threshold: float):
     return make
 
 
-def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key: str = "doc_id") -> DataFrame:
+def scan_secrets(docs: DataFrame, threshold: float = THRESHOLD, words_path: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of docs: key, n_assign, n_access, n_hex, base_sha256, spans, n_guess, max_guess_log10.
 
-    Spans are kind:start:end in code points, the end exclusive, by start, then assign, access, hex, guess.
+    Spans are kind:start:end in code points, the end exclusive, by start, then assign, access, hex, guess. words_path: a tokenizer's file
+    whose whole words join the dictionary.
     """
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = "_key bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint, max_guess_log10 double"
-    return over_texts(rows, _scan(threshold), schema).withColumnRenamed("_key", key)
+    return over_texts(rows, _scan(threshold, words_path), schema).withColumnRenamed("_key", key)

@@ -19,9 +19,9 @@ def test_one_page():
 
 
 def test_paths_are_generalised():
+    assert X.best(X.blocks(PAGE))[0] == "body>article.post-#"
     page = X.Page(PAGE)
-    assert page.path(page.article()[0]) == "body article.post-#"
-    assert page.number("body article.post-#") == page.article()[0] and page.number("body div.none") is None
+    assert page.number("body>article.post-#") == page.article()[0] and page.number("body>div.none") is None
 
 
 def test_odd_markup():
@@ -61,7 +61,7 @@ def test_articles_keep_their_parts(spark):
     got = X.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert all(r.text == NESTED[r.page_id // 10][1] for r in got) and len(got) == len(rows)
     inner, want = NESTED[0]
-    assert X.main_text(nested(inner), ["body article div.body"]) == want
+    assert X.main_text(nested(inner), ["body>article>div.body"]) == want
 
 
 ARTICLE = f"<h1>Title</h1><p>{BODY}</p><p>{LEAD}</p>"

@@ -46,6 +46,7 @@ def test_groups_are_cut(spark, vectors, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(vectors[:900])], SCHEMA)
     whole = result(N.nearest(df, F.col("vec_id") % 50 == 0))
     monkeypatch.setattr(N, "GROUP_ROWS", 3)
+    monkeypatch.setattr(N, "GROUP_QUERIES", 2)
     assert result(N.nearest(df, F.col("vec_id") % 50 == 0)) == whole
 
 
@@ -61,3 +62,25 @@ def test_small_and_odd_tables(spark):
     got = result(N.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0))
     assert got == {0: [1, 2, 50], 50: [2, 0, 1]}
     assert N.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_probes_are_fitted_to_the_recall(spark, vectors):
+    """Clustered vectors need few probes, isotropic ones many; either way the query itself reaches the recall."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 64))
+    near = (centres[rng.integers(60, size=1500)] + 0.15 * rng.normal(size=(1500, 64))).astype(np.float32)
+    asked = lambda x: [N._vectors([v.tobytes()], "<f4")[0] for v in x]
+    few = np.median([N.turn_found(a, b) for a, b in zip(asked(near[:40]), asked(near[:40] + 0.05), strict=True)])
+    many = np.median([N.turn_found(a, b) for a, b in zip(asked(vectors[:40]), asked(vectors[40:80]), strict=True)])
+    assert few < many
+    df = spark.createDataFrame([(i, v.tolist(), 0, "") for i, v in enumerate(near)], SCHEMA)
+    got, want = result(N.nearest(df, F.col("vec_id") % 50 == 0)), brute(np.arange(1500), near)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want]) >= 0.9
+
+
+def test_turn_found_is_the_place_among_the_probes(vectors):
+    for q, v in ((vectors[1], vectors[2]), (vectors[60], vectors[110]), (vectors[5], vectors[9])):
+        q, v = q.astype(float), v.astype(float)
+        turn = N.turn_found(q, v)
+        found = lambda many: any(int(N.codes(v[None], t)[1][0]) in dict(N.probes(q[None], t, many)[0]).get(int(N.codes(v[None], t)[0][0]), ()) for t in range(N.TABLES))
+        assert found(turn) and (turn == 1 or not found(turn - 1))

@@ -69,6 +69,17 @@ def test_model_equals_dictionaries():
         assert abs(Q.perplexities({"": model}, [""], [t])[0] - want) < 1e-4
 
 
+def test_long_texts_are_scored_in_windows(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcde é\0") for _ in range(n)) for n in (1, 30, 500, 12, 64, 65, 200)]
+    codes, n = np.unique(Q.coded(texts)[0], return_counts=True)
+    model = {"": Q.Model(codes, n)}
+    whole = Q.perplexities(model, [""] * 7, texts)
+    monkeypatch.setattr(Q, "WINDOW", 64)
+    assert np.allclose(whole, Q.perplexities(model, [""] * 7, texts))
+    assert sum(len(c) for _, c, _ in Q.windows(texts)) == sum(map(len, texts)) and max(len(c) for _, c, _ in Q.windows(texts)) <= 64
+
+
 def corpus(n=400):
     rng = random.Random(4)
     words = ["".join(rng.choice("aeiou" if k % 2 else "bcdfglmnprst") for k in range(rng.randrange(3, 9))) for _ in range(300)]

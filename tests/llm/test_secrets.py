@@ -107,3 +107,46 @@ def test_long_repeat_is_no_secret(spark):
     rows = [(n, "password is " + "x" * n) for n in (512, 513, 5000)]
     for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
         assert r.n_guess == 0 and r.max_guess_log10 < S.THRESHOLD
+
+
+def test_runs_by_definition():
+    rng = random.Random(4)
+    for k in range(1500):
+        low = "".join(rng.choice("ab" if k % 2 else "abc") for _ in range(rng.randrange(1, 26)))
+        want = set()
+        for p in range(1, len(low) // 2 + 1):
+            for i in range(len(low) - p):
+                j = i + p
+                while j < len(low) and low[j] == low[j - p]:
+                    j += 1
+                unit = low[i : i + p]
+                if j - i >= S._times(p) * p and (not i or i < p or low[i - 1] != low[i - 1 + p]) and (unit + unit).find(unit, 1) == p and (i == 0 or low[i - 1] != low[i - 1 + p]):
+                    want.add((p, i, j))
+        assert set(S._runs(low)) == want, low
+
+
+def test_values_of_any_length():
+    """10, 512, 513 and 100,000 characters: random ones cost what brute force says, repeats next to nothing."""
+    rng = random.Random(5)
+    for n in (10, 512, 513, 100_000):
+        odd = "".join(rng.choice("QXZ7#!%") for _ in range(n))
+        assert S.guess_cost(odd)[0] <= sum(map(S._card, odd)) + 1e-6 and S.guess_cost(odd)[0] > n / 4
+        assert S.guess_cost("ab" * (n // 2))[0] < 10
+    odd = "".join(rng.choice("QXZ7#!%") for _ in range(120))
+    assert S.guess_cost(odd)[0] == pytest.approx(brute(odd))
+
+
+def test_vocabulary_as_dictionary(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert S.guess_cost("Liverpool1892", S.book(path))[0] < 9 < S.guess_cost("Liverpool1892")[0]
+    df = spark.createDataFrame([(0, "the passphrase is Liverpool1892"), (1, "the passphrase is x9Q!7zRp#2Lm")], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_guess for r in S.scan_secrets(df, threshold=9.0, words_path=path).collect()} == {0: 0, 1: 1}
+
+
+def test_many_spans_and_empty_table(spark):
+    text = "token=abcdefgh password is x9Q!7zRp#2Lm " * 20_000
+    row = S.scan_secrets(spark.createDataFrame([(0, text)], "doc_id bigint, text string")).first()
+    assert row.n_assign == 20_000 and row.n_guess == 20_000
+    assert S.scan_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
