@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.rules import LEAST, RESERVE
+
 
 def merged_orphans(rows: DataFrame, keys: list[str], order: str, orphan: Column, text: str, most: int) -> DataFrame:
     """Orphan rows joined to the row before while the whole stays within `most` characters, else rows of their own.
@@ -68,3 +72,129 @@ def clamp(most: int):
         return texts.map(lambda t: None if t is None else clamped_text(t, most))
 
     return run
+
+
+#: Roles whose texts are clamped, and to how many characters.
+CAPS = {"tool_call": 1200, "tool_result": 2500, "reasoning": 1000, "tool": 2500, "toolResult": 2500}
+ERRORS = re.compile("error|fail|traceback|exception|panic|fatal|assert", re.I)
+#: The longest error line that a clamp keeps whole; a shorter rest than this isn't worth a window.
+ERROR_LINE, WORTH = 300, 20
+
+
+def windowed(line: str, at: int, most: int) -> str:
+    """A line of at most `most` characters around place `at`, with dots where it was cut."""
+    if len(line) <= most:
+        return line
+    span = most - 2
+    start = min(max(at - span // 2, 0), len(line) - span)
+    return "…" * (start > 0) + line[start : start + span] + "…" * (start + span < len(line))
+
+
+def clamped_tool(text: str, cap: int, most_lines: int = 10) -> str:
+    """Head and tail of a tool's output cut at line ends; a quarter of the room goes to lines of the middle that name an error.
+
+    A line counts if an error word in it isn't wholly in head or tail. Lines that don't fit are passed over; what room is
+    left at the end goes to a window into the first of them. Never longer than the cap, which is at least LEAST.
+    """
+    cap = max(cap, LEAST)
+    if len(text) <= cap:
+        return text
+    room = cap - RESERVE
+    spare = room // 4
+    ends = room - spare
+    head = text[: ends * 2 // 3]
+    tail = text[len(text) - (ends - len(head)) :]
+    head = head[: head.rfind("\n") + 1] or head
+    tail = tail[max(tail.find("\n"), 0) :]
+    begin, end, at = len(head), len(text) - len(tail), 0
+    kept: list[str] = []
+    passed: tuple[str, int] | None = None
+    for line in text.split("\n"):
+        hit = next((m.start() for m in ERRORS.finditer(line) if at + m.end() > begin and at + m.start() < end), None)
+        at += len(line) + 1
+        if hit is not None:
+            if len(kept) == most_lines:
+                break
+            piece = windowed(line, hit, ERROR_LINE)
+            if len(piece) < spare:
+                kept.append(piece)
+                spare -= len(piece) + 1
+            else:
+                passed = passed or (line, hit)
+    if passed and len(kept) < most_lines and spare > WORTH:
+        kept.append(windowed(*passed, spare - 1))
+    errors = ["...[errors]", *kept] if kept else []
+    return "\n".join([head, *errors, f"...[cut {end - begin} characters]", tail])
+
+
+def clamp_tool(cap: int):
+    """clamped_tool as a column function over Arrow batches; null becomes empty."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "" if t is None else clamped_tool(t, cap))
+
+    return run
+
+
+ORPHANS = ("[tool_result]", "[reasoning]", "[tool_call]")
+
+
+def _starts(text: Column, prefixes) -> Column:
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | text.startswith(p)
+    return found
+
+
+def calls_tool() -> Column:
+    return (F.col("role") == "assistant") & F.col("call_id").isNotNull()
+
+
+def orphan_text() -> Column:
+    """An assistant's row that is only the text of a tool or a thought."""
+    return (F.col("role") == "assistant") & ~calls_tool() & _starts(F.col("content"), ORPHANS)
+
+
+def needs_cap() -> Column:
+    return (F.col("role") == "tool") | ((F.col("role") == "assistant") & ~calls_tool() & _starts(F.col("content"), ("[tool_result]", "[tool_call]")))
+
+
+def shaped(rows: DataFrame, tool: Column) -> DataFrame:
+    """Rows (conv_id, turn, role, call_id, content) as messages of three shapes: a person's, the assistant's, a tool's.
+
+    Calls and results without an id can't be paired and become an assistant's text with their role in front, as thoughts
+    do; other roles go.
+    """
+    role, call, content = F.col("role"), F.coalesce("call_id", F.lit("")), F.coalesce("content", F.lit(""))
+    paired = role.isin("tool_call", "tool_result") & (call != "")
+    said = F.when(role == "reasoning", F.concat(F.lit("[reasoning] "), content)).when(role.isin("user", "assistant"), content).when(~paired, F.concat(F.lit("["), role, F.lit("] "), content))
+    said = said.when((role == "tool_call") & (content == ""), F.concat(F.lit("[Tool: "), tool, F.lit("]"))).otherwise(content)
+    shape = F.when(role == "user", "user").when((role == "tool_result") & paired, "tool").otherwise("assistant")
+    return rows.filter(role.isin("user", "assistant", "tool_call", "tool_result", "reasoning")).select("conv_id", "turn", shape.alias("role"), said.alias("content"), F.when(paired, F.col("call_id")).alias("call_id"))
+
+
+def prepared(rows: DataFrame, most: int) -> DataFrame:
+    """Shaped messages with their `ts` made ready: conv_id, place, role, content, held, unique_ts.
+
+    Orphan texts join the orphan or the assistant's own text before them while both fit in `most` characters; orphans at the
+    end are held back; the others' times strictly increase. A session's rows meet in one array: they are bounded.
+    """
+    one = F.struct("turn", "role", "content", orphan_text().alias("orphan"), calls_tool().alias("calls"), "ts")
+    kind = "array<struct<turn:bigint,role:string,content:string,orphan:boolean,calls:boolean,ts:bigint>>"
+
+    def step(done: Column, row: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = row["orphan"] & (F.size(done) > 0) & (last["role"] == "assistant") & ~last["calls"] & (F.length(last["content"]) + 1 + F.length(row["content"]) <= most)
+        grown = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.concat(last["content"], F.lit("\n"), row["content"]).alias("content"), last["orphan"].alias("orphan"), last["calls"].alias("calls"), last["ts"].alias("ts"))
+        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(row)))
+
+    folded = F.aggregate(F.array_sort(F.collect_list(one)), F.array().cast(kind), step)
+    flat = rows.groupBy("conv_id").agg(folded.alias("_m")).select("conv_id", F.posexplode("_m").alias("place", "m")).select("conv_id", F.col("place").cast("long").alias("place"), "m.*")
+    w = Window.partitionBy("conv_id")
+    last = F.coalesce(F.max(F.when(~F.col("orphan"), F.col("place"))).over(w), F.lit(-1))
+    upto = w.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = F.max(F.when(F.col("ts") > 0, F.col("ts") - F.col("place") - 1)).over(upto)
+    unique = F.col("place") + 1 + F.greatest(F.lit(0), F.coalesce(lead, F.lit(0)))
+    held = flat.withColumn("held", F.col("place") > last)
+    return held.withColumn("unique_ts", F.when(~F.col("held"), unique)).select("conv_id", "place", "role", "content", "held", "unique_ts")
