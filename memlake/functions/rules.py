@@ -56,7 +56,7 @@ def clamp_plain(text: Column, cap: int) -> Column:
     cap = max(cap, LEAST)
     room = cap - RESERVE
     head, tail = F.substring(text, 1, room * 2 // 3), F.right(text, F.lit(room - room * 2 // 3))
-    head = F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, "[^\n]*$", "")).otherwise(head)
+    head = F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, "[^\n]*\\z", "")).otherwise(head)
     tail = F.when(F.contains(tail, F.lit("\n")), F.substring(tail, F.locate("\n", tail), F.length(tail))).otherwise(tail)
     cut = F.length(text) - F.length(head) - F.length(tail)
     mark = F.concat(F.lit("...[cut "), cut.cast("string"), F.lit(" characters]"))

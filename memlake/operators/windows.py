@@ -99,3 +99,9 @@ def chunked(rows: DataFrame, keys: list[str], order: str, text: str, size: int,
     step_size = max(1, size - overlap)
     parts = F.when(F.length("text") > size, F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / step_size).cast("int") - 1), lambda p: F.substring(F.col("text"), p * step_size + 1, F.lit(size)))).otherwise(F.array("text"))
     return done.select(*keys, order, "chunk", F.posexplode(parts).alias("part", "piece")).withColumn("part", F.col("part").cast("long"))
+
+
+def interleaved_then(df: DataFrame, query: str, kind: str, rank: str, first: str, allowed: Column, k: int) -> DataFrame:
+    """Both lists of each query interleaved whole, then filtered without changing their order, then the first k: place."""
+    order = [F.col(rank), F.when(F.col(kind) == first, 0).otherwise(1)]
+    return top_per_key(df.filter(allowed), [query], order, k, "place")  # a filter keeps the order that ranks and kinds give

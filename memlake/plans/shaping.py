@@ -72,9 +72,9 @@ def secret_patterns(t):
 @R.query(
     f"""WITH f AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN body WHEN 1 THEN '---' || chr(10) || 'external_id: ' || token || chr(10) || 'title: ' || token || chr(10) || body
 ELSE '---' || chr(10) || 'external_id: ' || token || chr(10) || 'title: ' || token || chr(10) || '---' || chr(10) || body END AS body FROM ({_SECRETIVE})),
-p AS (SELECT *, strpos(substr(body, 5), chr(10) || '---' || chr(10)) AS at FROM f)
-SELECT doc_id, sha256(CASE WHEN NOT starts_with(body, '---' || chr(10)) THEN {_sql_hidden("body")} WHEN at = 0 THEN body ELSE
-array_to_string(list_transform(string_split(substr(body, 1, at + 3), chr(10)), lambda x: CASE WHEN regexp_matches(x, '^(external_id|source_id|session_key|agent|source|date):\\s') THEN x ELSE {_sql_hidden("x")} END), chr(10)) || {_sql_hidden("substr(body, at + 4)")} END) AS digest FROM p"""
+p AS (SELECT *, strpos(substr(body, 5), chr(10) || '---' || chr(10)) AS fence FROM f)
+SELECT doc_id, sha256(CASE WHEN NOT starts_with(body, '---' || chr(10)) THEN {_sql_hidden("body")} WHEN fence = 0 THEN body ELSE
+array_to_string(list_transform(string_split(substr(body, 1, fence + 3), chr(10)), lambda x: CASE WHEN regexp_matches(x, '^(external_id|source_id|session_key|agent|source|date):\\s') THEN x ELSE {_sql_hidden("x")} END), chr(10)) || {_sql_hidden("substr(body, fence + 4)")} END) AS digest FROM p"""
 )
 def redact_frontmatter(t):
     """A third of the texts without frontmatter, a third with an unclosed one, a third with one whose identity line looks like a secret."""
@@ -119,7 +119,8 @@ def clamp_with_rescue(t):
 @R.query(f"SELECT doc_id, sha256({_sql_hidden('c')}) AS digest FROM (SELECT doc_id, {_sql_clamp('r', 400)} AS c FROM (SELECT doc_id, {_sql_hidden('body')} AS r FROM ({_SECRETIVE})))")
 def redact_clamp_redact(t):
     """Hidden before the clamp, so that no secret is cut in two, and after it."""
-    return _secretive(t).select("doc_id", F.sha2(T.hide_secrets(T.clamp_plain(T.hide_secrets(F.col("body")), 400)), 256).alias("digest"))
+    rows = _secretive(t).withColumn("hidden", T.hide_secrets(F.col("body"))).withColumn("cut", T.clamp_plain(F.col("hidden"), 400))
+    return rows.select("doc_id", F.sha2(T.hide_secrets(F.col("cut")), 256).alias("digest"))
 
 
 _BROKEN = "[10, 11, 12, 13, 28, 29, 30, 133, 8232, 8233, 32]"
