@@ -27,10 +27,15 @@ REDACTIONS: list[tuple[str, str]] = [
 ]
 
 
+#: No pattern matches a text without one of these: most texts are spared the passes.
+_HINT = r"(?i)[0-9]{13}|[0-9a-f]{32}|@|:|=|akia|sk-|gh[a-z]_|xox|bearer|eyJ|-----BEGIN|AIza"
+
+
 def redact(text: Column) -> Column:
+    out = text
     for pattern, put in REDACTIONS:
-        text = F.regexp_replace(text, pattern, put)
-    return text
+        out = F.regexp_replace(out, pattern, put)
+    return F.when(text.rlike(_HINT), out).otherwise(text)
 
 
 def redact_sql(text: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,20 +27,38 @@ def victims(df: DataFrame, keys: list[str], newest: list[Column], keep: int) ->
 
 
 def walk_chain(links: DataFrame, node: str, prev: str) -> DataFrame:
-    """Depth of each node from the chain's tip, the highest node; nodes that the walk doesn't reach are orphans.
+    """Depth of each node from the chain's tip, the highest node; nodes that the walk doesn't reach, and those that it reaches
+    twice because they stand in a cycle, are orphans.
 
-    Pointer doubling: after r rounds a node knows its 2**r-th predecessor, so a chain of n nodes takes log2 n joins.
+    Pointer doubling: after r rounds a node knows its 2**r-th predecessor, so a chain of n nodes takes log2 n joins. Each round
+    is cut off by a checkpoint; rounds end at the latest once twice the number of nodes is covered.
     """
     tip = links.agg(F.max(node).alias("_at")).withColumn("depth", F.lit(0).cast("long"))
     reached, jump, step = tip, links.select(F.col(node).alias("_from"), F.col(prev).alias("_to")).filter("_to is not null"), 1
-    while True:
+    most = 2 * links.count()
+    while step <= most:
         further = reached.join(jump, F.col("_at") == F.col("_from")).select(F.col("_to").alias("_at"), (F.col("depth") + step).alias("depth"))
+        further = cut(further)
         if further.isEmpty():
             break
-        reached = reached.unionByName(further)
+        reached = cut(reached.unionByName(further))
         onward = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_end"))
-        jump, step = jump.join(onward, "_to").select("_from", F.col("_end").alias("_to")), 2 * step
-    return links.join(reached, F.col(node) == F.col("_at"), "left").select(node, "depth", F.col("_at").isNull().alias("orphan"))
+        jump, step = cut(jump.join(onward, "_to").select("_from", F.col("_end").alias("_to"))), 2 * step
+    once = reached.groupBy("_at").agg(F.min("depth").alias("depth"), (F.count("*") > 1).alias("_cycle"))
+    walked = links.join(once, F.col(node) == F.col("_at"), "left")
+    orphan = F.col("_at").isNull() | F.col("_cycle")
+    return walked.select(node, F.when(~orphan, F.col("depth")).alias("depth"), orphan.alias("orphan"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, checkpointed in the folder of spark.checkpoint.dir; local sessions without one get one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-memlake-"))
+    return df.checkpoint()
 
 
 def typed(column: str, kind: str) -> Column:

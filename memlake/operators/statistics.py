@@ -111,3 +111,13 @@ def bootstrap(counts: DataFrame, stratum: str, k: str, n: str, replicates: int)
     at = rates.withColumn("_i", F.row_number().over(Window.orderBy("rate", "replicate")) - 1)
     low, high = int(0.025 * replicates), min(int(0.975 * replicates), replicates - 1)
     return at.agg(F.max(F.when(F.col("_i") == low, F.col("rate"))).alias("low"), F.max(F.when(F.col("_i") == high, F.col("rate"))).alias("high"))
+
+
+def percentiles(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
+    """n, nearest (nearest rank) and by_index (the value at place n * p from 0) of each group, from counts of each distinct value."""
+    hist = rows.groupBy(group, value).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = hist.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
+    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    place = F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1)
+    return run.groupBy(group).agg(F.max("_n").alias("n"), at(F.ceil(F.col("_n") * p)).alias("nearest"), at(place).alias("by_index"))

@@ -21,13 +21,14 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
 def interleave(df: DataFrame, query: str, kind: str, rank: str, first: str, k: int) -> DataFrame:
     """Merge two ranked lists of each query, `first`'s entry before the other's at equal ranks, up to k in all."""
     order = [F.col(rank), F.when(F.col(kind) == first, 0).otherwise(1)]
-    return top_per_key(df, [query], order, k, "merged_rank")
+    return top_per_key(df.filter(F.col(rank) <= k), [query], order, k, "merged_rank")  # the limit reaches the inner rank
 
 
 def diversify(df: DataFrame, query: list[str], group: str, order: list[Column], cap: int, limit: int) -> DataFrame:
     """At most `cap` of a group in order, then the others in order, up to `limit` for each query."""
     own = Window.partitionBy(*query, group).orderBy(*order)
-    ranked = df.withColumn("_over", (F.row_number().over(own) > cap).cast("int"))
+    ranked = df.withColumn("_own", F.row_number().over(own)).filter(F.col("_own") <= cap + limit)  # no later row can be among them
+    ranked = ranked.withColumn("_over", (F.col("_own") > cap).cast("int")).drop("_own")
     return top_per_key(ranked, query, [F.col("_over"), *order], limit, "place").drop("_over")
 
 
@@ -105,3 +106,30 @@ def interleaved_then(df: DataFrame, query: str, kind: str, rank: str, first: str
     """Both lists of each query interleaved whole, then filtered without changing their order, then the first k: place."""
     order = [F.col(rank), F.when(F.col(kind) == first, 0).otherwise(1)]
     return top_per_key(df.filter(allowed), [query], order, k, "place")  # a filter keeps the order that ranks and kinds give
+
+
+def numbered_by_range(df: DataFrame, bucket: str, order: list[Column], place: str, total: str) -> DataFrame:
+    """place (from 0 in order) and total, without sorting all rows in one task.
+
+    `bucket` rises with the order: rows are ranked within it, and the counts of the buckets before are added. Only the
+    counts, one row for each bucket, meet in one task.
+    """
+    sizes = df.groupBy(bucket).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias(total))
+    own = F.row_number().over(Window.partitionBy(bucket).orderBy(*order)) - 1
+    return df.withColumn("_own", own).join(offsets, bucket).withColumn(place, (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_before")
+
+
+def within_budget(df: DataFrame, group: str, order: str, size: str, budget: int, width: int) -> DataFrame:
+    """Rows of each group whose running total in order stays within the budget, with that total.
+
+    Sums of blocks of `width` keys tell which rows can be within it; only the rows of those blocks are sorted.
+    """
+    block = F.floor(F.col(order) / width)
+    blocks = df.groupBy(group, block.alias("_block")).agg(F.sum(size).alias("_s"))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    near = blocks.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).filter(F.col("_before") <= budget).select(group, "_block")
+    rows = df.withColumn("_block", block).join(near, [group, "_block"], "left_semi").drop("_block")
+    upto = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("total", F.sum(size).over(upto)).filter(F.col("total") <= budget)

@@ -168,7 +168,7 @@ def retry_safety(t):
     return rows.groupBy("event_type", "status", "added").agg(F.count("*").alias("n")).select("*", safe(F.col("status") == 422).alias("retry"), safe(F.col("status").between(400, 499)).alias("harmless"))
 
 
-@R.query("SELECT doc_id, coalesce(e, c, 0.62) AS theta, (n_chars % 100) / 100.0 >= coalesce(e, c, 0.62) AS shown FROM (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 0.5 END AS e, CASE WHEN doc_id % 2 = 0 THEN 0.7 END AS c FROM documents)")
+@R.query("SELECT doc_id, CAST(coalesce(e, c, 0.62) AS DOUBLE) AS theta, (n_chars % 100) / 100.0 >= coalesce(e, c, 0.62) AS shown FROM (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN 0.5 END AS e, CASE WHEN doc_id % 2 = 0 THEN 0.7 END AS c FROM documents)")
 def threshold_precedence(t):
     """A threshold from the environment before the one configured before the default."""
     theta = F.coalesce(F.when(F.col("doc_id") % 3 == 0, 0.5), F.when(F.col("doc_id") % 2 == 0, 0.7), F.lit(0.62))

@@ -167,7 +167,12 @@ def decision_gate(t):
 SELECT count(*) AS queries, count(*) FILTER (WHERE cover) / count(*) AS coverage, avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END) AS hit1, avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END) AS hit5, round(avg(coalesce(1.0 / first, 0)), 9) AS mrr, round(avg(top5 / 5), 9) AS p5 FROM q"""
 )
 def retrieval_metrics(t):
-    q = _ranked(t).groupBy("qid").agg(F.min(F.when(F.col("relevant"), F.col("r"))).alias("first"), F.count_if(F.col("relevant") & (F.col("r") <= 5)).alias("top5"), F.bool_or("useful").alias("cover"))
+    # The first relevant rank is one more than how many stand before the best relevant one: nothing is sorted as a whole.
+    rows = _scored(t).select("qid", "relevant", "useful", F.struct("score", (-F.col("doc_id")).alias("d")).alias("key"))
+    best = rows.groupBy("qid").agg(F.max(F.when(F.col("relevant"), F.col("key"))).alias("best"), F.bool_or("useful").alias("cover"))
+    before = rows.join(F.broadcast(best), "qid").groupBy("qid").agg(F.first("cover").alias("cover"), F.when(F.first("best").isNotNull(), F.count_if(F.col("key") > F.col("best")) + 1).alias("first"))
+    top5 = _ranked(t).filter("r <= 5").groupBy("qid").agg(F.count_if("relevant").alias("top5"))
+    q = before.join(top5, "qid")
     hit = lambda k: F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0))
     return q.agg(F.count("*").alias("queries"), (F.count_if("cover") / F.count("*")).alias("coverage"), hit(1).alias("hit1"), hit(5).alias("hit5"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 9).alias("mrr"), F.round(F.avg(F.col("top5") / 5), 9).alias("p5"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.operators import sessions as O
+from memlake.operators import statistics as S
+from memlake.operators import windows as W
 from memlake.plans.registry import Registry
 
 R = Registry()
@@ -48,9 +50,8 @@ p AS (SELECT DISTINCT CAST(floor(k * (SELECT max(n) FROM o) / 50.0) AS BIGINT) A
 )
 def systematic_sample(t):
     """Fifty evenly spaced rows of a stream in time order."""
-    rows = t.events.filter("event_type = 'signup'").select("event_id", "ts")
-    w = Window.orderBy("ts", "event_id")
-    numbered = rows.withColumn("i", (F.row_number().over(w) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy()))
+    rows = t.events.filter("event_type = 'signup'").select("event_id", "ts", F.date_trunc("hour", "ts").alias("hour"))
+    numbered = W.numbered_by_range(rows, "hour", [F.col("ts"), F.col("event_id")], "i", "n")
     turn = F.floor(F.ceil(F.col("i") * 50.0 / F.col("n")) * F.col("n") / 50.0)
     return numbered.filter((turn == F.col("i")) & (F.ceil(F.col("i") * 50.0 / F.col("n")) < 50)).select("event_id")
 
@@ -149,11 +150,7 @@ def retry_accounting(t):
 )
 def percentile_flavours(t):
     """Nearest rank, and the value at index n * p: the two definitions differ and are kept apart."""
-    rows = t.events.filter("value is not null").select("event_type", "value")
-    w = Window.partitionBy("event_type")
-    at = rows.withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
-    index = F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)), F.col("value")))
-    return at.groupBy("event_type").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.95) within group (order by value)").alias("nearest"), index.alias("by_index"))
+    return S.percentiles(t.events.filter("value is not null").select("event_type", "value"), "event_type", "value", 0.95)
 
 
 @R.query(
@@ -206,6 +203,5 @@ def leave_one_decoy_out(t):
     """SELECT source, doc_id, total FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents WHERE text LIKE '%the%' AND n_chars < 2000) WHERE total <= 6000"""
 )
 def evidence_pack(t):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = t.documents.filter(F.col("text").contains("the") & (F.col("n_chars") < 2000))
-    return rows.select("source", "doc_id", F.sum("n_chars").over(w).alias("total")).filter("total <= 6000")
+    rows = t.documents.filter(F.col("text").contains("the") & (F.col("n_chars") < 2000)).select("source", "doc_id", "n_chars")
+    return W.within_budget(rows, "source", "doc_id", "n_chars", 6000, 1024).select("source", "doc_id", "total")

@@ -196,12 +196,12 @@ def recall_gate(t):
     return q.join(n, "token", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) >= F.col("least")).alias("recalled"))
 
 
-@R.query("SELECT item_id, q, relevant, len(relevant) = 0 AS uncalibrated, CASE WHEN len(relevant) = 0 THEN NULL ELSE 0.62 END AS theta FROM (SELECT item_id, substr(text, 1, 30) AS q, CASE WHEN item_id % 2 = 0 THEN [] ELSE ['d' || item_id] END AS relevant FROM benchmark)")
+@R.query("SELECT item_id, q, array_to_string(relevant, ',') AS relevant, len(relevant) = 0 AS uncalibrated, CAST(CASE WHEN len(relevant) = 0 THEN NULL ELSE 0.62 END AS DOUBLE) AS theta FROM (SELECT item_id, substr(text, 1, 30) AS q, CASE WHEN item_id % 2 = 0 THEN [] ELSE ['d' || item_id] END AS relevant FROM benchmark)")
 def labelled_queries(t):
     """Queries with what is relevant to them, read as nested JSON; without any label no threshold is calibrated."""
     raw = F.to_json(F.struct(F.substring("text", 1, 30).alias("q"), F.when(F.col("item_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("d"), F.col("item_id").cast("string")))).alias("relevant")))
     rows = t.benchmark.select("item_id", F.from_json(raw, "q string, relevant array<string>").alias("x"))
-    return rows.select("item_id", "x.q", "x.relevant", (F.size("x.relevant") == 0).alias("uncalibrated"), F.when(F.size("x.relevant") > 0, 0.62).alias("theta"))
+    return rows.select("item_id", "x.q", F.array_join("x.relevant", ",").alias("relevant"), (F.size("x.relevant") == 0).alias("uncalibrated"), F.when(F.size("x.relevant") > 0, 0.62).alias("theta"))
 
 
 @R.query("SELECT conv_id, count(*) AS n, max(turn) AS version, max(turn) > 3 AS stale FROM conversations WHERE conv_id IN (3, 17) GROUP BY conv_id")
