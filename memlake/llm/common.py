@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextvars
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,6 +99,15 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = upto
 
 
+def give_back() -> None:
+    """Free memory that an idle worker would hold: a worker lives on after its task, beside those of other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def over_texts(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """Apply a batch function to Arrow batches; make() runs once in each task, and what it holds goes with the task.
 
@@ -107,11 +118,13 @@ def over_texts(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn, made = make(), None
         for whole in batches:
             for batch in sliced(whole):
                 made = fn(batch.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+        del fn, made
+        give_back()
 
     return df.mapInArrow(run, out)
 

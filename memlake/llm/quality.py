@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from memlake.llm.common import dropped, over_texts, sliced, small_batches, written
+from memlake.llm.common import dropped, give_back, over_texts, sliced, small_batches, written
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -104,6 +104,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle(lang)
     for lang, (codes, counts) in totals.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int32)), pa.array(counts)], names=["_lang", "code", "n"])
+    totals.clear()
+    give_back()
 
 
 class Model:
