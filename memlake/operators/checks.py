@@ -63,7 +63,7 @@ def identity(head: Column, expected: dict[str, Column]) -> Column:
 
 def command(line: Column) -> Column:
     """The first word of a shell line past `cd x &&`, wrappers with their options and assignments; null if none is left."""
-    skipped = r"^(?:cd(?: [^& ][^ ]*)* (?:&& |$)|(?:sudo|env|nohup|time|nice)(?: (?:-[^ ]*|[^ ]*=[^ ]*))*(?: |$)|[^- ][^ ]*=[^ ]*(?: |$))*"
+    skipped = r"^(?:cd(?: [^& ][^ ]*)*(?: && ?|$)|(?:sudo|env|nohup|time|nice)(?: (?:-[^ ]*|[^ ]*=[^ ]*))*(?: |$)|[^- ][^ ]*=[^ ]*(?: |$))*"
     return F.nullif(F.split_part(F.regexp_replace(line, skipped, ""), F.lit(" "), F.lit(1)), F.lit(""))
 
 

@@ -146,7 +146,7 @@ def integrity_signature(t):
 
 
 _COMMANDS = ("pytest -q", "cd /a && pytest", "sudo -E pytest x", "env -i A=1 B=2 make all", "FOO=1 BAR=2 ls", "nohup time ls -l", "cd /only", "", "sudo env X=1 git log", "-x odd")
-_SKIP = r"^(cd( [^& ][^ ]*)* (&& |$)|(sudo|env|nohup|time|nice)( (-[^ ]*|[^ ]*=[^ ]*))*( |$)|[^- ][^ ]*=[^ ]*( |$))*"
+_SKIP = r"^(cd( [^& ][^ ]*)*( && ?|$)|(sudo|env|nohup|time|nice)( (-[^ ]*|[^ ]*=[^ ]*))*( |$)|[^- ][^ ]*=[^ ]*( |$))*"
 
 
 @R.query(f"SELECT command, count(*) AS n FROM (SELECT CASE WHEN tool <> 'Bash' THEN tool ELSE coalesce(nullif(split_part(regexp_replace(cmd, '{_SKIP}', ''), ' ', 1), ''), 'Bash') END AS command FROM (SELECT CASE WHEN event_id % 11 = 0 THEN 'Read' ELSE 'Bash' END AS tool, {list(_COMMANDS)!r}[event_id % 10 + 1] AS cmd FROM events)) GROUP BY command")
