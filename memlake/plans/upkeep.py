@@ -332,3 +332,55 @@ def schema_fingerprints(t):
     """SHA-256 of each table's sorted names and types."""
     prints = {name: I.schema_fingerprint(getattr(t, name)) for name in ("labels", "benchmark")}
     return t.spark.createDataFrame(sorted(prints.items()), "name string, fingerprint string")
+
+
+@R.query("SELECT id, count(*) AS n FROM (SELECT unnest(['i' || item_id % 7, 'j' || item_id]) AS id FROM benchmark UNION ALL SELECT 'k' FROM benchmark WHERE item_id % 2 = 0) GROUP BY id")
+def snapshot_ids(t):
+    """Ids out of a map of maps of lists."""
+    i = F.col("item_id")
+    raw = F.concat(F.lit('{"a":{"x":["i'), (i % 7).cast("string"), F.lit('","j'), i.cast("string"), F.lit('"],"y":[]},"b":{"z":['), F.when(i % 2 == 0, '"k"').otherwise(""), F.lit("]}}"))
+    maps = t.benchmark.select(F.from_json(raw, "map<string, map<string, array<string>>>").alias("m"))
+    lists = maps.select(F.explode(F.map_values("m")).alias("inner")).select(F.explode(F.map_values("inner")).alias("ids"))
+    return lists.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+
+
+_SETTINGS = "SELECT n_nationkey AS k, n_name AS setting, CASE WHEN n_nationkey % 6 = 4 THEN '' WHEN n_nationkey % 6 = 5 THEN NULL ELSE '/data/' || lower(n_name) END AS value, n_nationkey % 2 = 0 AS required FROM nation"
+
+
+@R.query(f"SELECT setting, CASE WHEN coalesce(value, '') <> '' THEN value END AS root, required AND coalesce(value, '') = '' AS missing FROM ({_SETTINGS}) WHERE required OR coalesce(value, '') <> ''")
+def allowed_roots(t):
+    """Roots out of settings: a required one that is empty is missing, an optional one just isn't there."""
+    k = F.col("n_nationkey")
+    value = F.when(k % 6 == 4, "").when(k % 6 != 5, F.concat(F.lit("/data/"), F.lower("n_name")))
+    rows = t.nation.select(F.col("n_name").alias("setting"), F.nullif(value, F.lit("")).alias("root"), (k % 2 == 0).alias("required"))
+    return rows.filter(F.col("required") | F.col("root").isNotNull()).select("setting", "root", (F.col("required") & F.col("root").isNull()).alias("missing"))
+
+
+@R.query(
+    """WITH h AS (SELECT source, doc_id, (n_chars % 100) / 100.0 AS score, doc_id % 5 = 0 AS stale, regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g') AS snip FROM documents), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS r FROM h WHERE score >= 0.62),
+b AS (SELECT source, string_agg('- ' || snip || CASE WHEN stale THEN ' (stale)' ELSE '' END, chr(10) ORDER BY r) AS body FROM k WHERE r <= 20 GROUP BY source) SELECT source, CASE WHEN length(body) <= 400 THEN body ELSE regexp_replace(substr(body, 1, 400), '\\n[^\\n]*$', '') END AS digest FROM b"""
+)
+def digest_with_threshold(t):
+    """Lines at or above a threshold, stale ones marked, cut at the last line end under four characters a token."""
+    hits = t.documents.select("source", "doc_id", ((F.col("n_chars") % 100) / 100.0).alias("score"), (F.col("doc_id") % 5 == 0).alias("stale"), F.regexp_replace(F.substring("text", 1, 40), r"\s+", " ").alias("snip"))
+    top = W.top_per_key(hits.filter("score >= 0.62"), ["source"], [F.desc("score"), F.col("doc_id")], 20, "r")
+    line = F.concat(F.lit("- "), "snip", F.when(F.col("stale"), " (stale)").otherwise(""))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n")
+    rows = top.groupBy("source").agg(body.alias("body"))
+    return rows.select("source", F.when(F.length("body") <= 400, F.col("body")).otherwise(F.regexp_replace(F.substring("body", 1, 400), r"\n[^\n]*\z", "")).alias("digest"))
+
+
+@R.query("SELECT coalesce(o.key, a.key) AS key, CASE WHEN o.key IS NULL THEN 'unexpected' WHEN a.key IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' WHEN kind <> 'sj' THEN 'wrong_kind' ELSE 'ok' END AS outcome FROM (SELECT item_id AS key FROM benchmark WHERE item_id % 9 <> 4) o FULL JOIN (SELECT item_id AS key, count(*) AS n, min(CASE WHEN item_id % 10 = 3 THEN 'fs' ELSE 'sj' END) AS kind FROM (SELECT item_id FROM benchmark WHERE item_id % 7 <> 2 UNION ALL SELECT item_id FROM benchmark WHERE item_id % 8 = 1) GROUP BY item_id) a ON o.key = a.key")
+def closure_outcomes(t):
+    """Every expected and every given id with its outcome: missing, unexpected, duplicate, of another kind, or right."""
+    ids = t.benchmark.select(F.col("item_id").alias("key"))
+    given = ids.filter("key % 7 <> 2").unionByName(ids.filter("key % 8 = 1")).groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("key") % 10 == 3, "fs").otherwise("sj")).alias("kind"))
+    both = ids.filter("key % 9 <> 4").withColumn("wanted", F.lit(True)).join(given, "key", "full_outer")
+    outcome = F.when(F.col("wanted").isNull(), "unexpected").when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate").when(F.col("kind") != "sj", "wrong_kind").otherwise("ok")
+    return both.select("key", outcome.alias("outcome"))
+
+
+@R.query("SELECT q.vec_id AS query_id, c.vec_id, place FROM (SELECT q.vec_id AS qid, c.vec_id AS cid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) DESC, c.vec_id) AS place FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) p JOIN embeddings q ON q.vec_id = p.qid JOIN embeddings c ON c.vec_id = p.cid WHERE place <= 10")
+def cosine_topk_all(t):
+    """Every twentieth vector against all others: blocks of queries meet partitions of vectors, each returns its ten best."""
+    return O.cosine_blocks(t.embeddings, "vec_id", "embedding", "id % 20 = 0", 10)
