@@ -206,15 +206,21 @@ def _long_lists(member: DataFrame, lists: DataFrame, texts: DataFrame, width: in
 def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id, kept."""
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = written(over_texts(texts, _sketches(width), "_key bigint, n bigint, fp binary, sketch array<bigint>"), "sketches")
+    made = over_texts(texts, _sketches(width), "_key bigint, n bigint, fp binary, sketch array<bigint>")
+    rows = written(made.withColumn("_row", F.monotonically_increasing_id()), "sketches")
     named = rows.filter(F.col("_key").isNotNull() & F.col("fp").isNotNull())
-    classes = written(named.groupBy("fp").agg(F.min("_key").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    # One row stands for each class: only its number is looked for, so that sketches move only where classes are too many to broadcast.
+    first = named.groupBy("fp").agg(F.min(F.struct("_key", "_row")).alias("_first"))
+    first = written(first.select("fp", F.col("_first._key").alias("id"), F.col("_first._row").alias("_row")), "firsts")
+    classes = joined_small(named.select("_row", "n", "sketch"), first, ["_row"], "inner", 48 * first.count(), salts=1)
+    classes = written(classes.select("fp", "id", "n", "sketch"), "classes")
     whole_table, rows = rows, written(rows.select("_key", "n", "fp"), "rows")  # sketches stay with the classes only
-    dropped(whole_table)
+    dropped(whole_table, first)
 
     # Inverted lists of the rarest retained values; one that a single class retains makes no pair but takes a place.
-    values = classes.select("id", F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    # Both sides read one exchange by value: counting ids (never null) keeps its columns the same.
+    values = classes.select("id", F.explode("sketch").alias("v")).filter("id is not null and v is not null").repartition("v")
+    shared = values.groupBy("v").agg(F.count("id").alias("df")).filter("df > 1")
     held = values.join(shared, "v")
     exact = math.floor(K * percent / 100)
     needed = F.when(F.col("n") <= exact, F.ceil(F.col("n") * percent / 100)).otherwise(OVERLAP)
@@ -231,16 +237,14 @@ def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     links = _links(stars, classes, texts, width, percent)
     joined = written(components(links), "components")
 
-    # Then members of different components meet: in a short list directly, in the list of the smallest value both have.
-    places = lists.groupBy("id").agg(F.array_sort(F.collect_list("v")).alias("vs"))  # at most K values
-    member = lists.join(places, "id").join(joined, "id", "left").select("v", "id", "n", "vs", F.coalesce("component", "id").alias("c"))
+    # Then members of different components meet: in a short list directly.
+    member = lists.join(joined, "id", "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
     member = written(member, "members")
     unsettled = written(_open_lists(member), "open")
-    once = F.array_min(F.array_intersect("vsa", "vsb")) == F.col("v")
-    rest = _across(member, unsettled.filter(F.col("_many") <= SHORT), similar & once)
+    rest = _across(member, unsettled.filter(F.col("_many") <= SHORT), similar)
     rest = written(rest.join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")).unionByName(stars), ["a", "b"], "left_anti"), "rest")
     more = _links(rest, classes, texts, width, percent)
-    more = more.unionByName(_long_lists(member.drop("vs"), unsettled.filter(F.col("_many") > SHORT), texts, width, percent))
+    more = more.unionByName(_long_lists(member, unsettled.filter(F.col("_many") > SHORT), texts, width, percent))
     whole = written(components(links.unionByName(more)), "components")
     label = classes.select("fp", "id").join(whole, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     dropped(lists, stars, joined, member, unsettled, rest)

@@ -91,3 +91,40 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty_table(spark):
     assert near_dup.find_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.6, 0.8, 0.87])
+def test_a_common_passage_makes_no_pairs(spark, share, monkeypatch):
+    """Texts that are mostly one passage, but too little of it to be near one another, meet no one; nearer ones still do."""
+    monkeypatch.setattr(near_dup, "SHORT", 1)
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(int(200 * share))]
+    rows = [(i, " ".join([*passage, *(f"u{i}x{k}" for k in range(200 - len(passage)))]), 0, "") for i in range(60)]
+    near = rows[7][1].split()
+    near[150:153] = ["a", "b", "c"]
+    rows += [(100, " ".join(near), 0, ""), (101, " ".join(rng.sample(passage, 20)), 0, "")]
+    met = []
+    within = near_dup._within_reach
+    monkeypatch.setattr(near_dup, "_within_reach", lambda *x: met.append(within(*x).count()) or within(*x))
+    got = near_dup.find_near_duplicates(spark.createDataFrame(rows, SCHEMA), width=1).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 1)
+    assert sum(met) <= 2
+
+
+def test_reach_loses_no_pair(spark):
+    """Every pair at the similarity that shares a value stays, whichever of the two is smaller and in the largest component."""
+    rng = random.Random(12)
+    sets = [sorted(rng.sample(range(40), rng.randrange(8, 30))) for _ in range(80)]
+    for i in range(0, 80, 2):
+        sets[i + 1] = sorted({*sets[i], *rng.sample(range(40), rng.randrange(0, 4))} - set(rng.sample(sets[i], rng.randrange(0, 3))))
+    place, want = [], set()
+    comp = [rng.randrange(3) for _ in sets]
+    for i, s in enumerate(sets):
+        n = len(s)
+        place += [(v, i, n, at, comp[i]) for at, v in enumerate(s) if at <= n - -(-n * 80 // 100)]
+        for j in range(i):
+            if comp[i] != comp[j] and 100 * len(set(s) & set(sets[j])) >= 80 * len(set(s) | set(sets[j])):
+                want.add((j, i))
+    df = spark.createDataFrame(place, "v bigint, id bigint, n bigint, at bigint, c bigint")
+    got = {tuple(sorted((r.a, r.b))) for r in near_dup._within_reach(df, near_dup._open_lists(df), 80).collect()}
+    assert want and want <= got
