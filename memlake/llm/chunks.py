@@ -68,14 +68,14 @@ def spaced(text: str) -> list[str] | None:
 def words_of(path: str) -> Callable[[str], list[str] | None]:
     """For a tokenizer's file, a function from a text to pieces that can be encoded one by one; None: encode it whole.
 
-    A settled text of a lower-case vocabulary gives its pre-tokens, in lower case.
+    A settled text, or chunk, of a lower-case vocabulary gives its pre-tokens, in lower case.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     if not spec["normalizer"]:
         return spaced
     find = settled_pattern(split_pattern(spec)).findall
-    return lambda text: find(text.lower()) if settled(text) else lowered(text)
+    return lambda text: find(text.lower()) if settled(text) else [w for c in lowered(text) for w in (find(c) if settled(c) else (c,))]
 
 
 def split_pattern(spec: dict) -> str:

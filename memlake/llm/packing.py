@@ -23,6 +23,8 @@ from memlake.llm.common import over_texts, written
 
 #: Pieces of one length that are ranked together, about.
 RANK_ROWS = 20_000
+#: Words that the tokenizer gets as one text.
+TOGETHER = 64
 
 
 def _id_bytes(path: str):
@@ -38,7 +40,25 @@ def _id_bytes(path: str):
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    cache = chunks.Cache(whole)
+    suffix = getattr(tok.model, "end_of_word_suffix", None) or ""
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    if suffix:
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def pieces(missing: list[str]) -> list[bytes]:
+        """Ids of words that aren't known yet: many at once, told apart by the mark that ends a word."""
+        words = [w for w in missing if chunks.settled(w)] if suffix else []
+        found = {}
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, whole([" ".join(g) for g in groups]), strict=True):
+            at = [0, *(4 * (np.flatnonzero(ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()]
+            if len(at) == len(group) + 1 and at[-1] == len(ids):
+                found.update((w, ids[at[k] : at[k + 1]]) for k, w in enumerate(group))
+        rest = [w for w in missing if w not in found]
+        found.update(zip(rest, whole(rest), strict=True))
+        return [found[w] for w in missing]
+
+    cache = chunks.Cache(pieces)
     words = chunks.words_of(path)
 
     def run(texts: list[str]) -> list[bytes]:
