@@ -55,3 +55,7 @@ def test_bsd_hides_the_weaker_reading(spark):
     four = ". ".join(s for n, s in licenses.SENTENCES if n in ("bsd-redist", "bsd-source", "bsd-binary", "bsd-endorse"))
     df = spark.createDataFrame([(0, four)], "doc_id bigint, text string")
     assert licenses.scan_licenses(df).first().licenses == "BSD-3-Clause"
+
+
+def test_empty_table(spark):
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
