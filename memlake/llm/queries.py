@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, extraction, licenses, near_dup, nearest, packing, pii, quality, secrets, token_counts
+from memlake.llm import bpe, conversations, extraction, infilling, licenses, near_dup, nearest, packing, pii, quality, secrets, token_counts, urls
 from memlake.llm.common import table
 
 
@@ -55,9 +55,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (F.col("toxic") == 1).alias("block"))
+    return urls.judge(table(spark, sf_dir, "pages"), labels)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_licenses, op2_main_text, op3_secrets, op4_nearest, op5_packing, op6_bpe, op7_near_duplicates, op8_quality, op9_personal_data, op10_token_counts)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_licenses, op2_main_text, op3_secrets, op4_nearest, op5_packing, op6_bpe, op7_near_duplicates, op8_quality, op9_personal_data, op10_token_counts,
+            op11_conversations, op12_infilling, op13_urls,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.oracle()}
+    return {"op1_licenses": licenses.oracle(), "op11_conversations": conversations.oracle(), "op12_infilling": infilling.oracle()}
