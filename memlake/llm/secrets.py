@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least sum, over its segmentations, of log10 guesses for each segment: a common word, a
 date, a repeat, a keyboard walk or a brute-force span; dynamic programming finds it. A repeat is any span, of whatever length
-and at whatever place, that is its shortest unit two or more times. A value that follows a credential
+and at whatever place, that is its shortest unit two or more times; a walk is any span of four or more neighbouring keys, a part
+of a longer walk too; a date or a year is one wherever it fits. A value that follows a credential
 word and costs at least `threshold` is reported as a span of kind "guess", unless a pattern's span holds it already.
 
 Null texts are read as empty: no spans. Ids may be null or repeat: one row out for each row in. Whole texts are scanned.
@@ -89,11 +90,20 @@ def book(path: str | None) -> Book:
 
 
 LEET = str.maketrans("4@301!$57", "aaeoiisst")
-DATE = re.compile(r"(?:(?:19|20)\d\d([-/._ ]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._ ]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
+#: Dates by year or by day first, and years: at one place each of these fits at one length at most.
+DATES = tuple(
+    (re.compile(form, re.A), cost)
+    for form, cost in (
+        (r"(?:19|20)\d\d([-/._ ]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])", math.log10(365 * 150)),
+        (r"(?:0[1-9]|[12]\d|3[01])([-/._ ]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", math.log10(365 * 150)),
+        (r"(?:19|20)\d\d", math.log10(150)),
+    )
+)
+#: Keys of a walk at least, log10 of where it may start, and of what each turn costs.
+WALK, WALK_START, WALK_TURN = 4, math.log10(47), math.log10(8)
 KEYS = {c: (i + at, y) for y, (row, at) in enumerate(ROWS) for i, c in enumerate(row)}
 #: log10 guesses for starting another segment: an attacker must also find how segments join.
 JOIN = 0.5
-DATE_GUESSES = math.log10(365 * 150)
 
 
 def _card(c: str) -> float:
@@ -177,8 +187,43 @@ def _repeats(low: str, book: Book) -> Iterator[tuple[int, int, float, str]]:
                 yield i, j, book.unit(low[i : i + p]) + math.log10((j - i) // p + 1), "repeat"
 
 
+def _walks(low: str) -> Iterator[tuple[int, int, list[int]]]:
+    """(start, end, turns) of the longest walks; turns[k] counts those up to the walk's k-th key, the first two have none."""
+    n, i = len(low), 0
+    while i < n:
+        j, turns = i + 1, [0, 0]
+        while j < n and _near(low[j - 1], low[j]):
+            if j >= i + 2:
+                turns.append(turns[-1] + ((KEYS[low[j]][0] - KEYS[low[j - 1]][0]) * (KEYS[low[j - 1]][0] - KEYS[low[j - 2]][0]) <= 0))
+            j += 1
+        if j - i >= WALK:
+            yield i, j, turns
+        i = j
+
+
+class Starts:
+    """Open starts of a span whose cost is what stands before it and the logarithm of its length in some unit.
+
+    An earlier start that is no dearer at one end stays so at all later ones, so later starts can go.
+    """
+
+    def __init__(self):
+        self.open: list[tuple[int, float]] = []
+
+    def least(self, start: int, before: float, weigh) -> tuple[float, int]:
+        """Open another start; the least cost at this end, weigh(start) being the logarithm."""
+        self.open.append((start, before))
+        left, least = [], (math.inf, 0)
+        for i, cost in self.open:
+            if (here := cost + weigh(i)) < least[0]:
+                left.append((i, cost))
+                least = (here, i)
+        self.open = left
+        return least
+
+
 def _segments(value: str, book: Book = PLAIN, repeats: bool = True) -> list[tuple[int, int, float, str]]:
-    """(start, end, log10 guesses, kind) of the spans that aren't brute force."""
+    """(start, end, log10 guesses, kind) of words and dates, and repeats unless they are left out."""
     low = _lower(value)
     plain, n, found = low.translate(LEET), len(value), []
     for form, extra in ((low, 0.0), (plain, 0.5)) if plain != low else ((low, 0.0),):
@@ -188,19 +233,11 @@ def _segments(value: str, book: Book = PLAIN, repeats: bool = True) -> list[tupl
                     upper = sum(c.isupper() for c in value[i:j])
                     found.append((i, j, cost + extra + (0.3 if upper in (1, j - i) else 0.0 if not upper else 1.0), "word"))
     for i in range(n):
-        if m := DATE.match(value, i):
-            found.append((i, m.end(), DATE_GUESSES if m.end() - i > 4 else math.log10(150), "date"))
+        for form, cost in DATES:
+            if m := form.match(value, i):
+                found.append((i, m.end(), cost, "date"))
     if repeats:
         found += _repeats(low, book)
-    i = 0
-    while i < n - 1:
-        j = i + 1
-        while j < n and _near(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 4:
-            turns = sum((KEYS[low[k]][0] - KEYS[low[k - 1]][0]) * (KEYS[low[k - 1]][0] - KEYS[low[k - 2]][0]) <= 0 for k in range(i + 2, j))
-            found.append((i, j, math.log10(47 * (j - i)) + turns * math.log10(8), "walk"))
-        i = max(j - 1, i + 1)
     return found
 
 
@@ -214,6 +251,8 @@ def guess_cost(value: str, book: Book = PLAIN) -> tuple[float, list[str]]:
     opening: dict[int, list[tuple[int, int, int, dict]]] = {}  # runs by where their first repeat ends, with open starts by phase
     for p, start, end in _runs(low):
         opening.setdefault(start + _times(p) * p, []).append((p, start, end, {}))
+    walks = iter(_walks(low))
+    walk, walking = next(walks, None), Starts()
     running: list[tuple[int, int, int, dict]] = []
     brute = [(math.inf, 0, "")] * (n + 1)  # cost of a prefix that ends inside a brute-force span: cost, where from, how
     done = [(0.0, 0, "")] + [(math.inf, 0, "")] * n
@@ -226,15 +265,17 @@ def guess_cost(value: str, book: Book = PLAIN) -> tuple[float, list[str]]:
         running = [r for r in running if j <= r[2]] + opening.get(j, [])
         for p, start, _, phases in running:
             i = j - _times(p) * p
-            starts = phases.setdefault((i - start) % p, [])
-            starts.append((i, done[i][0] + (JOIN if i else 0.0) + book.unit(low[i : i + p])))
-            left, least = [], math.inf
-            for i, before in starts:  # an earlier start that is no dearer here stays so further on: later ones can go
-                if (cost := before + math.log10((j - i) // p + 1)) < least:
-                    left.append((i, before))
-                    least = cost
-                    done[j] = min(done[j], (cost, i, "repeat"))
-            phases[(left[0][0] - start) % p] = left
+            starts = phases.setdefault((i - start) % p, Starts())
+            cost, i = starts.least(i, done[i][0] + (JOIN if i else 0.0) + book.unit(low[i : i + p]), lambda i, j=j, p=p: math.log10((j - i) // p + 1))
+            done[j] = min(done[j], (cost, i, "repeat"))
+        if walk and j > walk[1]:
+            walk, walking = next(walks, None), Starts()
+        if walk and walk[0] + WALK <= j:
+            start, _, turns = walk  # a walk's turns begin with its third key
+            i = j - WALK
+            before = done[i][0] + (JOIN if i else 0.0) + WALK_START - turns[i - start + 1] * WALK_TURN
+            cost, i = walking.least(i, before, lambda i, j=j: math.log10(j - i))
+            done[j] = min(done[j], (cost + turns[j - 1 - start] * WALK_TURN, i, "walk"))
     kinds, j = [], n
     while j > 0:
         _, i, kind = done[j]
