@@ -1,7 +1,9 @@
 """Token counts through a digest cache.
 
 Each text's normalised content (null as empty, UTF-8) has a SHA-256 digest; with the digest of the tokenizer's file it
-is the key of a stored count. Only distinct contents whose key isn't stored are encoded, once each, and appended.
+is the key of a stored count. Only distinct contents whose key isn't stored are encoded, once each, and appended. A content
+that many rows share is made one row before it moves, in the tasks that read it, and its rows are dealt out as a skewed
+partition when the counts are joined to them.
 
 Null texts count as empty: 0 bytes, 0 tokens. Ids may be null or repeat: one row out for each row in.
 An empty table gives an empty result.
@@ -16,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm import chunks
-from memlake.llm.common import over_texts, shared_dir, written
+from memlake.llm.common import BROADCAST_BYTES, over_texts, shared_dir, written
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
+#: Bytes of a digest in a broadcast, about.
+ROW_BYTES = 96
 
 
 def tokenizer_digest(path: str) -> str:
@@ -73,28 +77,32 @@ def _encoder(path: str):
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of docs: key, n_bytes, n_tokens, over_limit. cache_path: a table of counts to read and append to
-    (a new one in the shared folder if None). An interrupted append leaves counts that are right, so running again is safe.
+    (if None a new one in the shared folder, gone when the counts are joined). An interrupted append leaves counts that are right, so running again is safe.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
+    own = cache_path is None
     cache_path = cache_path or f"{shared_dir(spark)}/memlake-token-counts-{os.urandom(8).hex()}"
-    body = F.coalesce(F.col(text), F.lit("")).cast("string")
-    base = docs.select(F.col(key).alias("_key"), body.alias("_text"))
-    digests = written(base.select("_key", F.unhex(F.sha2("_text", 256)).alias("digest"), F.octet_length("_text").cast("long").alias("n_bytes")), "digests")
+    base = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("string").alias("_text"))
+    digest = F.unhex(F.sha2("_text", 256)).alias("digest")
+    digests = written(base.select("_key", digest, F.octet_length("_text").cast("long").alias("n_bytes")), "digests")
     where = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
-    stored = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    distinct = digests.groupBy("digest").agg(F.min("_key").alias("_key"))
-    if stored:
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
-        distinct = distinct.join(known.select("digest"), "digest", "left_anti")
-    # One holder of each missing content brings its text: only these rows' texts move.
-    wanted = distinct.filter(F.col("_key").isNotNull()).select("_key", F.col("digest").alias("_wanted"))
-    texts = base.withColumn("digest", F.unhex(F.sha2("_text", 256))).join(wanted, "_key", "inner").filter(F.col("digest") == F.col("_wanted"))
-    nameless = base.filter(F.col("_key").isNull()).withColumn("digest", F.unhex(F.sha2("_text", 256))).join(distinct.filter(F.col("_key").isNull()).select("digest"), "digest", "left_semi")
-    misses = texts.select("digest", F.col("_text").alias("text")).unionByName(nameless.select("digest", F.col("_text").alias("text")))
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    contents, missing = base.select(digest, "_text"), None
+    if files.exists(where):
+        known = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version).select("digest")
+        missing = written(digests.select("digest").distinct().join(known, "digest", "left_anti"), "missing")
+        few = missing.count() * ROW_BYTES <= BROADCAST_BYTES
+        contents = contents.join(F.broadcast(missing), "digest", "left_semi") if few else contents
+    misses = contents.groupBy("digest").agg(F.any_value("_text").alias("text"))  # copies meet in the tasks that read them first
+    if missing is not None and not few:
+        misses = misses.join(missing, "digest", "left_semi")
     made = over_texts(misses, _encoder(tokenizer_path), "digest binary, n_tokens bigint")
     made.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).filter(F.col("tokenizer") == version)
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # an interrupted run may have appended some twice
-    out = digests.join(counts, "digest", "left")  # a hot digest is split as a skewed join
+    counts = written(counts, "counts")  # a plain table, so that a hot digest's rows can be split
+    if own:
+        files.delete(where, True)
+    out = digests.join(counts, "digest", "left")
     return out.select(F.col("_key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

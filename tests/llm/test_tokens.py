@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import unicodedata
 import zlib
@@ -103,14 +104,47 @@ def test_counts_equal_library(docs, path):
 
 def test_cache_encodes_only_distinct_misses(spark, docs, tmp_path):
     at = str(tmp_path / "counts")
+    docs = docs.union(docs).union(spark.createDataFrame([(7, "twice", ""), (7, "twice", ""), (7, "once", ""), (None, "twice", ""), (None, "no id", ""), (None, "no id", "")], SCHEMA))
     first = token_counts.count_tokens(docs, BYTE, cache_path=at).collect()
     stored = spark.read.parquet(at).count()
-    assert stored >= len({r.text or "" for r in docs.collect()})
-    more = docs.union(spark.createDataFrame([(900, "new text", ""), (901, "new text", "")], SCHEMA))
-    assert len(token_counts.count_tokens(more, BYTE, cache_path=at).collect()) == len(first) + 2
+    assert stored == len({r.text or "" for r in docs.collect()}) and len(first) == docs.count()
+    more = docs.union(spark.createDataFrame([(900, "new text", ""), (901, "new text", ""), (901, "new text", "")], SCHEMA))
+    assert len(token_counts.count_tokens(more, BYTE, cache_path=at).collect()) == len(first) + 3
     assert spark.read.parquet(at).count() == stored + 1
 
 
+def test_cache_with_many_misses(spark, docs, tmp_path, monkeypatch):
+    """Beyond what may be broadcast the result is the same."""
+    at = str(tmp_path / "counts")
+    token_counts.count_tokens(docs.limit(3), BYTE, cache_path=at).collect()
+    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", -1)
+    got = Counter(map(tuple, token_counts.count_tokens(docs, BYTE, cache_path=at).collect()))
+    assert got == Counter(map(tuple, token_counts.count_tokens(docs, BYTE).collect()))
+    assert spark.read.parquet(at).count() == len({r.text or "" for r in docs.collect()})
+
+
+def test_own_cache_is_gone_and_a_hot_content_is_split(spark):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 6000, 1, 6).selectExpr("id as doc_id", "case when id % 3 = 0 then '' else concat('text ', id % 500) end as text")
+        out = token_counts.count_tokens(rows, BYTE)
+        got = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "skew=true" in plan
+    assert len(got) == 6000 and {r.n_tokens for r in got if r.doc_id % 3 == 0} == {0}
+    assert not [x for x in os.listdir(shared) if x.startswith("memlake-token-counts")]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
