@@ -23,8 +23,8 @@ from memlake.llm.common import over_texts, written
 
 #: Pieces of one length that are ranked together, about.
 RANK_ROWS = 20_000
-#: Words that the tokenizer gets as one text.
-TOGETHER = 64
+#: Words that the tokenizer gets as one text, and bytes of known words that a task holds.
+TOGETHER, WORD_BYTES = 64, 96 << 20
 
 
 def _id_bytes(path: str):
@@ -58,7 +58,7 @@ def _id_bytes(path: str):
         found.update(zip(rest, whole(rest), strict=True))
         return [found[w] for w in missing]
 
-    cache = chunks.Cache(pieces)
+    cache = chunks.Cache(pieces, WORD_BYTES)
     words = chunks.words_of(path)
 
     def run(texts: list[str]) -> list[bytes]:
