@@ -6,7 +6,9 @@ twentieth of its votes (so at most 21), and each page is read again through them
 most of what its own best container holds is read through that container, so odd pages keep their text.
 
 What names itself menu, header, advert, comment and the like (as a class, an id or part of one) doesn't count, but for a
-wrapper that holds most of the page's running text; an article's h1 stays wherever it is.
+wrapper that holds most of the page's running text; an article's h1 stays wherever it is. A part of a compound name
+("search-algorithms", "related-work") is only a hint inside an article, a main element or a section: it must have few links and
+prose of its own to stay, a block of it, or LONG_PROSE characters where the part is a PUSHY word. Readers' words are no hints: they decide.
 
 Blocks are joined by two line feeds, white space in a block is one space, character references are decoded.
 Null and empty pages give an empty text. Ids may be null or repeat, a null url is host "": one row out for each row in.
@@ -55,6 +57,12 @@ MARKS = set(
 #: Of these, words for what readers wrote, and for what stands above an article.
 READERS = set("comment comments commentlist respond reply replies disqus".split())
 ABOVE = {"header", "masthead"}
+#: Words that sites use to sell or steer: as part of a compound name they need this much prose to be an article's own topic.
+PUSHY = set(
+    "nav navbar menubar sidebar aside footer masthead ad ads adv advert adverts advertisement sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe subscription "
+    "signup login social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar skip contentinfo complementary".split()
+)
+LONG_PROSE = 300
 
 
 def _attributes(given: str) -> tuple[str, set[str], set[str]]:
@@ -82,6 +90,7 @@ class Page:
         self.around, self.step, self.tags = [-1], ["body"], ["body"]
         self.numbers: dict[tuple[int, str], int] = {}
         self.outer, self.kind, self.holds = [-1], [""], [0]  # by region; holds: 1 an article or main, 2 an h1 or main
+        self.hint = [0]  # by region: the prose that makes it an article's own after all; 0 if nothing does
         self.blocks: list[tuple[int, str, int, int]] = []
         self._read(page)
         self.kept = self._kept()
@@ -178,8 +187,11 @@ class Page:
                 kind = "readers" if marks & READERS else "above" if tag == "header" or marks & ABOVE else "other"
                 within = len(self.outer)
                 self.outer.append(region)
-                self.kind.append("own" if kind == "above" and (opened["article"] or opened["main"]) else kind)
+                inside = opened["article"] or opened["main"]
+                self.kind.append("own" if kind == "above" and inside else kind)
                 self.holds.append(0)
+                only = tag not in DOUBTED and not marks & (whole | READERS) and (inside or tag == "section")
+                self.hint.append((LONG_PROSE if marks & PUSHY else PROSE) if only else 0)
             if tag == "h1" and self.kind[region] == "own":
                 within = self.outer[region]
             if tag in ("article", "main", "h1"):
@@ -196,12 +208,16 @@ class Page:
         """The blocks outside of regions, and those of regions that hold most of the page's running text.
 
         A region counts only if it also holds an article, main or h1, or next to nothing stands outside of all regions; one
-        that is named for readers' comments only if it holds main or h1.
+        that is named for readers' comments only if it holds main or h1. A region that is one by a hint counts by its prose too.
         """
         n = len(self.outer)
-        running, holds = [0] * n, list(self.holds)
+        running, holds, size, linked, prose = [0] * n, list(self.holds), [0] * n, [0] * n, [0] * n
         for _, text, links, region in self.blocks:
             running[region] += max(0, len(text) - 2 * links)
+            size[region] += len(text)
+            linked[region] += links
+            prose[region] += len(text) if len(text) >= PROSE else 0
+        topic = [0 < self.hint[r] <= prose[r] and 2 * prose[r] >= size[r] and FEW_LINKS * linked[r] <= size[r] for r in range(n)]
         outside = running[0]
         for r in range(n - 1, 0, -1):
             holds[self.outer[r]] |= holds[r]
@@ -214,7 +230,7 @@ class Page:
         counts = [True] * n
         for r in range(1, n):
             most = not said[r] and 2 * running[r] > total
-            counts[r] = counts[self.outer[r]] and most and bool(holds[r] or LITTLE * outside <= running[r])
+            counts[r] = counts[self.outer[r]] and (topic[r] or most and bool(holds[r] or LITTLE * outside <= running[r]))
         return [(path, text, links) for path, text, links, region in self.blocks if counts[region]]
 
     def path(self, number: int) -> str:
