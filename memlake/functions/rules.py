@@ -50,17 +50,114 @@ def hide_in_transcript(text: Column) -> Column:
     return F.when(~text.startswith("---\n"), hide_secrets(text)).when(end == 0, text).otherwise(F.concat(F.array_join(lines, "\n"), hide_secrets(rest)))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with the value worked out once: inside a lambda a column would be worked out again for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _ends(text: Column, room: int) -> tuple[Column, Column]:
+    """Head and tail of `room` characters, two parts to one, the head up to a line's end and the tail from one on where they have one."""
+    head, tail = F.substring(text, 1, room * 2 // 3), F.right(text, F.lit(room - room * 2 // 3))
+    head = F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, "[^\n]*\\z", "")).otherwise(head)
+    return head, F.when(F.contains(tail, F.lit("\n")), F.substring(tail, F.locate("\n", tail), F.length(tail))).otherwise(tail)
+
+
+def _mark(cut: Column) -> Column:
+    return F.concat(F.lit("...[cut "), cut.cast("string"), F.lit(" characters]"))
+
+
 def clamp_plain(text: Column, cap: int) -> Column:
     """A text longer than `cap` cut to head and tail at line ends, two parts to one, with a mark of what is missing; never
     longer than the cap, which is at least LEAST. Null becomes empty."""
     cap = max(cap, LEAST)
-    room = cap - RESERVE
-    head, tail = F.substring(text, 1, room * 2 // 3), F.right(text, F.lit(room - room * 2 // 3))
-    head = F.when(F.contains(head, F.lit("\n")), F.regexp_replace(head, "[^\n]*\\z", "")).otherwise(head)
-    tail = F.when(F.contains(tail, F.lit("\n")), F.substring(tail, F.locate("\n", tail), F.length(tail))).otherwise(tail)
+    head, tail = _ends(text, cap - RESERVE)
     cut = F.length(text) - F.length(head) - F.length(tail)
-    mark = F.concat(F.lit("...[cut "), cut.cast("string"), F.lit(" characters]"))
-    return F.when(text.isNull(), "").when(F.length(text) <= cap, text).otherwise(F.concat_ws("\n", head, mark, tail))
+    return F.when(text.isNull(), "").when(F.length(text) <= cap, text).otherwise(F.concat_ws("\n", head, _mark(cut), tail))
+
+
+#: Words of lines that a clamp rescues; the longest has nine letters.
+ERRORS = ("error", "fail", "traceback", "exception", "panic", "fatal", "assert")
+#: How many lines it rescues, the longest line that it keeps whole, and the rest of its room that isn't worth a window.
+ERROR_LINES, ERROR_LINE, WORTH = 10, 300, 20
+
+
+def window(line: Column, at: Column, most) -> Column:
+    """A line of at most `most` characters with place `at` (from 0) in its middle, dots where it was cut."""
+    return let(F.struct(line.alias("line"), at.alias("at"), F.length(line).alias("n"), (F.lit(most) - 2).cast("int").alias("span")), lambda w: F.when(w["n"] <= w["span"] + 2, w["line"]).otherwise(
+        let(F.greatest(F.lit(0), F.least(w["at"] - F.floor(w["span"] / 2).cast("int"), w["n"] - w["span"])), lambda start: F.concat(
+            F.when(start > 0, "…").otherwise(""), F.substring(w["line"], start + 1, w["span"]), F.when(start + w["span"] < w["n"], "…").otherwise("")
+        ))
+    ))
+
+
+def _cut_lines(middle: Column, head: Column, tail: Column) -> Column:
+    """The lines that the middle takes part in, whole, with the place (from 0) of the first error word that doesn't lie in head or tail alone."""
+    word = "(?i)" + "|".join(ERRORS)
+    before = F.when(F.contains(head, F.lit("\n")), "").otherwise(head)  # the first line may begin in the head, and the last one end in the tail
+    after = F.when(F.contains(tail, F.lit("\n")), "").otherwise(tail)
+
+    def across(x: Column, b: Column) -> Column:
+        """How far before the middle the first word begins that ends in it."""
+        found = F.lit(None).cast("int")
+        for d in range(1, max(map(len, ERRORS))):
+            long = "|".join(w for w in ERRORS if len(w) > d)
+            found = F.when((F.length(b) >= d) & F.concat(F.right(b, F.lit(d)), F.substring(x, 1, 9)).rlike(f"^(?i:{long})"), d).otherwise(found)
+        return found
+
+    def lines(m: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            b, a = F.when(i == 0, m["before"]).otherwise(""), F.when(i == m["last"], m["after"]).otherwise("")
+            inner = F.regexp_instr(F.concat(x, F.substring(a, 1, 8)), F.lit(word))
+            base = F.length(b)
+            at = F.coalesce(F.when(i == 0, base - across(F.concat(x, F.substring(a, 1, 8)), b)), F.when((inner > 0) & (inner <= F.length(x)), base + inner - 1))
+            return F.struct(F.concat(b, x, a).alias("line"), at.cast("int").alias("at"))
+
+        return F.filter(F.transform(m["parts"], one), lambda x: x["at"].isNotNull())
+
+    parts = let(F.split(middle, "\n"), lambda p: F.struct(p.alias("parts"), (F.size(p) - 1).alias("last"), before.alias("before"), after.alias("after")))
+    return let(parts, lines)
+
+
+def clamp_rescuing(text: Column, cap: int) -> Column:
+    """As clamp_plain, with a quarter of the room for lines of the cut part that name an error.
+
+    A line counts if an error word in it doesn't lie in head or tail alone. In order, up to ERROR_LINES of them are kept, each as a window of
+    ERROR_LINE characters at most; lines that don't fit are passed over, and what room is left goes to a window into the first of
+    these. Never longer than the cap, which is at least LEAST. Null becomes empty.
+    """
+    cap = max(cap, LEAST)
+    room = cap - RESERVE
+    spare = room // 4
+
+    def kept(hits: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(spare).alias("spare"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("int").alias("at"))
+
+        def step(s: Column, h: Column) -> Column:
+            def put(piece: Column) -> Column:
+                fits, first = F.length(piece) < s["spare"], s["at"].isNull()
+                missed = ~fits & first
+                return F.struct(
+                    F.when(fits, F.array_append(s["kept"], piece)).otherwise(s["kept"]).alias("kept"), F.when(fits, s["spare"] - F.length(piece) - 1).otherwise(s["spare"]).alias("spare"),
+                    F.when(missed, h["line"]).otherwise(s["line"]).alias("line"), F.when(missed, h["at"]).otherwise(s["at"]).alias("at"),
+                )
+
+            return F.when(F.size(s["kept"]) == ERROR_LINES, s).otherwise(let(window(h["line"], h["at"], ERROR_LINE), put))
+
+        def finish(s: Column) -> Column:
+            left = s["at"].isNotNull() & (F.size(s["kept"]) < ERROR_LINES) & (s["spare"] > WORTH)
+            return F.when(left, F.array_append(s["kept"], window(s["line"], s["at"], s["spare"] - 1))).otherwise(s["kept"])
+
+        return F.aggregate(hits, start, step, finish)
+
+    def clamped(e: Column) -> Column:
+        begin, cut = F.length(e["head"]), F.length(e["text"]) - F.length(e["head"]) - F.length(e["tail"])
+        lines = kept(_cut_lines(F.substring(e["text"], begin + 1, cut), e["head"], e["tail"]))
+        said = let(lines, lambda k: F.when(F.size(k) > 0, F.concat(F.array(F.lit("...[errors]")), k)).otherwise(k))
+        return F.array_join(F.concat(F.array(e["head"]), said, F.array(_mark(cut), e["tail"])), "\n")
+
+    head, tail = _ends(text, room - spare)
+    whole = F.struct(text.alias("text"), head.alias("head"), tail.alias("tail"))
+    return F.when(text.isNull(), "").when(F.length(text) <= cap, text).otherwise(let(whole, clamped))
 
 
 def entity_slug(kind: Column, name: Column) -> Column:

@@ -1,33 +1,24 @@
-"""Messages of a session: role mapping, merging of orphans, tool rounds, clamps that keep error lines."""
+"""Messages of a session: role mapping, merging of orphans, tool rounds, preparation."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.functions.rules import LEAST, RESERVE
+from memlake.operators import folds
+from memlake.operators.integrity import cut
 
 
 def merged_orphans(rows: DataFrame, keys: list[str], order: str, orphan: Column, text: str, most: int) -> DataFrame:
-    """Orphan rows joined to the row before while the whole stays within `most` characters, else rows of their own.
+    """keys, at, body, merged: orphan rows joined to the row before while the whole stays within `most` characters, else rows of their own.
 
-    A fold over each session's rows, which meet in one array: sessions are bounded by their turns.
+    Rows of equal order go by text, then by whether they are orphans. A key of any length: see folds.greedy_groups.
     """
-    one = F.struct(F.col(order).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("body"), orphan.alias("orphan"))
-    start = F.array().cast("array<struct<at:bigint,body:string,merged:bigint>>")
-
-    def step(done: Column, row: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = row["orphan"] & (F.size(done) > 0) & (F.length(last["body"]) + 1 + F.length(row["body"]) <= most)
-        grown = F.struct(last["at"].alias("at"), F.concat(last["body"], F.lit("\n"), row["body"]).alias("body"), (last["merged"] + 1).alias("merged"))
-        alone = F.struct(row["at"].alias("at"), row["body"].alias("body"), F.lit(0).cast("long").alias("merged"))
-        return F.when(fits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(alone)))
-
-    folded = F.aggregate(F.array_sort(F.collect_list(one)), start, step)
-    return rows.groupBy(*keys).agg(folded.alias("_m")).select(*keys, F.explode("_m").alias("m")).select(*keys, "m.at", "m.body", "m.merged")
+    lean = rows.select(*keys, F.col(order).alias("place"), F.coalesce(F.col(text), F.lit("")).alias("body"), orphan.alias("orphan"))
+    size = F.length("body")
+    grouped = folds.greedy_groups(lean, keys, ["place", "body", "orphan"], size, size + 1, ~F.col("orphan"), F.lit(False), most)
+    lines = F.array_sort(F.collect_list(F.struct("_at", "place", "body")))  # within `most` characters, or one row
+    return grouped.groupBy(*keys, "group").agg(lines.alias("l")).select(*keys, F.col("l")[0]["place"].alias("at"), F.array_join(F.transform("l", lambda x: x["body"]), "\n").alias("body"), (F.size("l") - 1).cast("long").alias("merged"))
 
 
 def role_shape(role: Column, text: Column) -> Column:
@@ -41,100 +32,8 @@ def round_bucket(n: Column) -> Column:
     return F.when(n < 3, "<3").when(n <= 5, "3-5").otherwise("6+")
 
 
-def clamped_text(text: str, most: int) -> str:
-    """Two thirds from the head and one third from the tail, cut at line ends where there is one near, with lines that name
-    an error kept from the middle while they fit; never longer than `most`."""
-    mark = "\n[...]\n"
-    if len(text) <= most:
-        return text
-    room = most - 2 * len(mark)
-    if room < 30:
-        return text[:most]
-    head, tail = text[: room * 2 // 3], text[len(text) - room // 3 :]
-    if (cut := head.rfind("\n")) > len(head) // 2:
-        head = head[:cut]
-    if 0 <= (cut := tail.find("\n")) < len(tail) // 2:
-        tail = tail[cut + 1 :]
-    spare, kept = room - len(head) - len(tail), []
-    for line in text[len(head) : len(text) - len(tail)].split("\n"):
-        if any(w in line.lower() for w in ("error", "exception", "failed", "traceback")) and len(line) + 1 <= spare:
-            kept.append(line)
-            spare -= len(line) + 1
-    middle = mark + "\n".join(kept) + mark if kept else mark
-    return head + middle + tail
-
-
-def clamp(most: int):
-    """clamped_text as a column function over Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else clamped_text(t, most))
-
-    return run
-
-
 #: Roles whose texts are clamped, and to how many characters.
 CAPS = {"tool_call": 1200, "tool_result": 2500, "reasoning": 1000, "tool": 2500, "toolResult": 2500}
-ERRORS = re.compile("error|fail|traceback|exception|panic|fatal|assert", re.I)
-#: The longest error line that a clamp keeps whole; a shorter rest than this isn't worth a window.
-ERROR_LINE, WORTH = 300, 20
-
-
-def windowed(line: str, at: int, most: int) -> str:
-    """A line of at most `most` characters around place `at`, with dots where it was cut."""
-    if len(line) <= most:
-        return line
-    span = most - 2
-    start = min(max(at - span // 2, 0), len(line) - span)
-    return "…" * (start > 0) + line[start : start + span] + "…" * (start + span < len(line))
-
-
-def clamped_tool(text: str, cap: int, most_lines: int = 10) -> str:
-    """Head and tail of a tool's output cut at line ends; a quarter of the room goes to lines of the middle that name an error.
-
-    A line counts if an error word in it isn't wholly in head or tail. Lines that don't fit are passed over; what room is
-    left at the end goes to a window into the first of them. Never longer than the cap, which is at least LEAST.
-    """
-    cap = max(cap, LEAST)
-    if len(text) <= cap:
-        return text
-    room = cap - RESERVE
-    spare = room // 4
-    ends = room - spare
-    head = text[: ends * 2 // 3]
-    tail = text[len(text) - (ends - len(head)) :]
-    head = head[: head.rfind("\n") + 1] or head
-    tail = tail[max(tail.find("\n"), 0) :]
-    begin, end, at = len(head), len(text) - len(tail), 0
-    kept: list[str] = []
-    passed: tuple[str, int] | None = None
-    for line in text.split("\n"):
-        hit = next((m.start() for m in ERRORS.finditer(line) if at + m.end() > begin and at + m.start() < end), None)
-        at += len(line) + 1
-        if hit is not None:
-            if len(kept) == most_lines:
-                break
-            piece = windowed(line, hit, ERROR_LINE)
-            if len(piece) < spare:
-                kept.append(piece)
-                spare -= len(piece) + 1
-            else:
-                passed = passed or (line, hit)
-    if passed and len(kept) < most_lines and spare > WORTH:
-        kept.append(windowed(*passed, spare - 1))
-    errors = ["...[errors]", *kept] if kept else []
-    return "\n".join([head, *errors, f"...[cut {end - begin} characters]", tail])
-
-
-def clamp_tool(cap: int):
-    """clamped_tool as a column function over Arrow batches; null becomes empty."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: "" if t is None else clamped_tool(t, cap))
-
-    return run
 
 
 ORPHANS = ("[tool_result]", "[reasoning]", "[tool_call]")
@@ -178,23 +77,17 @@ def prepared(rows: DataFrame, most: int) -> DataFrame:
     """Shaped messages with their `ts` made ready: conv_id, place, role, content, held, unique_ts.
 
     Orphan texts join the orphan or the assistant's own text before them while both fit in `most` characters; orphans at the
-    end are held back; the others' times strictly increase. A session's rows meet in one array: they are bounded.
+    end are held back; the others' times strictly increase. A session of any length: groups are filled block by block, and
+    what looks back over a session looks at the sums of blocks.
     """
-    one = F.struct("turn", "role", "content", orphan_text().alias("orphan"), calls_tool().alias("calls"), "ts")
-    kind = "array<struct<turn:bigint,role:string,content:string,orphan:boolean,calls:boolean,ts:bigint>>"
-
-    def step(done: Column, row: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = row["orphan"] & (F.size(done) > 0) & (last["role"] == "assistant") & ~last["calls"] & (F.length(last["content"]) + 1 + F.length(row["content"]) <= most)
-        grown = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.concat(last["content"], F.lit("\n"), row["content"]).alias("content"), last["orphan"].alias("orphan"), last["calls"].alias("calls"), last["ts"].alias("ts"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(row)))
-
-    folded = F.aggregate(F.array_sort(F.collect_list(one)), F.array().cast(kind), step)
-    flat = rows.groupBy("conv_id").agg(folded.alias("_m")).select("conv_id", F.posexplode("_m").alias("place", "m")).select("conv_id", F.col("place").cast("long").alias("place"), "m.*")
-    w = Window.partitionBy("conv_id")
-    last = F.coalesce(F.max(F.when(~F.col("orphan"), F.col("place"))).over(w), F.lit(-1))
-    upto = w.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lead = F.max(F.when(F.col("ts") > 0, F.col("ts") - F.col("place") - 1)).over(upto)
-    unique = F.col("place") + 1 + F.greatest(F.lit(0), F.coalesce(lead, F.lit(0)))
-    held = flat.withColumn("held", F.col("place") > last)
-    return held.withColumn("unique_ts", F.when(~F.col("held"), unique)).select("conv_id", "place", "role", "content", "held", "unique_ts")
+    size, open_ = F.length("content"), (F.col("role") == "assistant") & ~F.col("calls")
+    lean = rows.select("conv_id", "turn", "role", "content", orphan_text().alias("orphan"), calls_tool().alias("calls"), "ts")
+    grouped = folds.greedy_groups(lean, ["conv_id"], ["turn", "role", "content", "orphan", "calls", "ts"], size, size + 1, ~F.col("orphan"), ~open_, most, "place")
+    lines = F.array_sort(F.collect_list(F.struct("_at", "role", "content", "orphan", "ts")))  # within `most` characters, or one row
+    flat = grouped.groupBy("conv_id", "place").agg(lines.alias("l")).select("conv_id", "place", F.col("l")[0]["role"].alias("role"), F.array_join(F.transform("l", lambda x: x["content"]), "\n").alias("content"), F.col("l")[0]["orphan"].alias("orphan"), F.col("l")[0]["ts"].alias("ts"))
+    flat = cut(flat)  # read by the sums of blocks and again beside them
+    ended = folds.with_last(flat, ["conv_id"], "place", F.when(~F.col("orphan"), F.col("place")), "_last")
+    timed = folds.with_running_max(ended, ["conv_id"], "place", F.when(F.col("ts") > 0, F.col("ts") - F.col("place") - 1), "_lead")
+    held = F.col("place") > F.coalesce("_last", F.lit(-1))
+    unique = F.col("place") + 1 + F.greatest(F.lit(0), F.coalesce("_lead", F.lit(0)))
+    return timed.select("conv_id", "place", "role", "content", held.alias("held"), F.when(~held, unique).alias("unique_ts"))

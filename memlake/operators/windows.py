@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.folds import greedy_groups
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The winner of each key under a total order."""
@@ -85,18 +87,11 @@ def folded_rows(df: DataFrame, keys: list[str], order: str, start: Column, step,
 def chunked(rows: DataFrame, keys: list[str], order: str, text: str, size: int, overlap: int) -> DataFrame:
     """Each key's texts in order as chunks of at most `size` characters: keys, order, chunk, part, piece.
 
-    A text longer than that is cut into pieces that overlap, in a chunk of its own. A key's rows meet in one array.
+    A text longer than that is cut into pieces that overlap, in a chunk of its own. A key of any length: see folds.greedy_groups.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(-1).cast("long").alias("chunk"), F.lit(True).alias("big"), F.array().cast(f"array<struct<{order}:bigint,chunk:bigint,text:string>>").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        n = F.length(row[text]).cast("long")
-        big = n > size
-        chunk = state["chunk"] + (big | state["big"] | (state["used"] + n > size)).cast("long")
-        used = F.when(big, 0).when(state["used"] + n > size, n).otherwise(state["used"] + n)
-        return F.struct(used.alias("used"), chunk.alias("chunk"), big.alias("big"), F.concat(state["out"], F.array(F.struct(row[order].alias(order), chunk.alias("chunk"), row[text].alias("text")))).alias("out"))
-
-    done = folded_rows(rows.select(*keys, order, text), keys, order, start, step).select(*keys, F.explode("_state.out").alias("r")).select(*keys, f"r.{order}", "r.chunk", "r.text")
+    n = F.length("text")
+    lean = rows.select(*keys, order, F.col(text).alias("text"))
+    done = greedy_groups(lean, keys, [order, "text"], n, n, n > size, n > size, size, "chunk")
     step_size = max(1, size - overlap)
     parts = F.when(F.length("text") > size, F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / step_size).cast("int") - 1), lambda p: F.substring(F.col("text"), p * step_size + 1, F.lit(size)))).otherwise(F.array("text"))
     return done.select(*keys, order, "chunk", F.posexplode(parts).alias("part", "piece")).withColumn("part", F.col("part").cast("long"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memlake.functions import rules as T
 from memlake.operators import sessions as O
 from memlake.operators import statistics as S
 from memlake.operators import windows as W
 from memlake.plans.registry import Registry
+from memlake.plans.shaping import sql_rescue
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -39,9 +41,9 @@ def tool_round_buckets(t):
     return each.groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@R.query()
+@R.query(sql_rescue("SELECT doc_id, text FROM documents", 600))
 def clamp_rescue(t):
-    return t.documents.select("doc_id", O.clamp(600)(F.col("text")).alias("clamped"))
+    return t.documents.select("doc_id", T.clamp_rescuing(F.col("text"), 600).alias("clamped"))
 
 
 @R.query(

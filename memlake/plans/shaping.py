@@ -109,11 +109,32 @@ def clamp_plain(t):
     return rows.select("doc_id", F.length("c").cast("long").alias("n_chars"), F.sha2("c", 256).alias("digest"))
 
 
-@R.query()
+def sql_rescue(rows: str, cap: int) -> str:
+    """doc_id and clamped of rows (doc_id, text), with error words looked for at every place of every line."""
+    room = cap - 48
+    spare = room // 4
+    ends = room - spare
+    words = "error|fail|traceback|exception|panic|fatal|assert"
+    cut = lambda line, at, most: f"CASE WHEN length({line}) <= {most} THEN {line} ELSE CASE WHEN greatest(0, least({at} - ({most} - 2) // 2, length({line}) - ({most} - 2))) > 0 THEN '…' ELSE '' END || substr({line}, greatest(0, least({at} - ({most} - 2) // 2, length({line}) - ({most} - 2))) + 1, {most} - 2) || CASE WHEN greatest(0, least({at} - ({most} - 2) // 2, length({line}) - ({most} - 2))) + {most} - 2 < length({line}) THEN '…' ELSE '' END END"
+    return f"""WITH RECURSIVE r AS ({rows}), h AS (SELECT doc_id, text, substr(text, 1, {ends * 2 // 3}) AS h0, right(text, {ends - ends * 2 // 3}) AS t0 FROM r WHERE length(text) > {cap}),
+e AS (SELECT doc_id, text, CASE WHEN contains(h0, chr(10)) THEN regexp_replace(h0, '[^\n]*$', '') ELSE h0 END AS head, CASE WHEN contains(t0, chr(10)) THEN substr(t0, strpos(t0, chr(10))) ELSE t0 END AS tail FROM h),
+l AS (SELECT doc_id, length(head) AS b, length(text) - length(tail) AS z, line, i, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM e)),
+p AS (SELECT doc_id, i, line, list_filter(range(1, length(line) + 1), lambda x: lower(substr(line, x, 1)) IN ('e', 'f', 't', 'p', 'a') AND regexp_matches(substr(line, x, 9), '^(?i)({words})') AND off + x - 1 + length(regexp_extract(substr(line, x, 9), '^(?i)({words})')) > b AND off + x - 1 < z) AS found FROM l WHERE regexp_matches(line, '(?i){words}')),
+g AS (SELECT doc_id, line, found[1] - 1 AS place, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM p WHERE len(found) > 0),
+f AS (SELECT doc_id, 0 AS k, []::VARCHAR[] AS kept, {spare} AS spare, NULL::VARCHAR AS line, NULL::BIGINT AS place FROM e UNION ALL
+SELECT doc_id, k, CASE WHEN fits THEN list_append(kept, piece) ELSE kept END, CASE WHEN fits THEN spare - length(piece) - 1 ELSE spare END, CASE WHEN open AND NOT fits AND line IS NULL THEN own ELSE line END, CASE WHEN open AND NOT fits AND line IS NULL THEN at_own ELSE place END
+FROM (SELECT *, open AND length(piece) < spare AS fits FROM (SELECT f.doc_id, g.k, f.kept, f.spare, f.line, f.place, g.line AS own, g.place AS at_own, len(f.kept) < 10 AS open, {cut("g.line", "g.place", 300)} AS piece FROM f JOIN g ON f.doc_id = g.doc_id AND g.k = f.k + 1))),
+w AS (SELECT doc_id, CASE WHEN line IS NOT NULL AND len(kept) < 10 AND spare > 20 THEN list_append(kept, {cut("line", "place", "(spare - 1)")}) ELSE kept END AS kept FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) AS last FROM f) WHERE last = 1)
+SELECT r.doc_id, CASE WHEN r.text IS NULL THEN '' WHEN e.doc_id IS NULL THEN r.text ELSE e.head || chr(10) || CASE WHEN len(w.kept) > 0 THEN '...[errors]' || chr(10) || array_to_string(w.kept, chr(10)) || chr(10) ELSE '' END || '...[cut ' || (length(e.text) - length(e.head) - length(e.tail)) || ' characters]' || chr(10) || e.tail END AS clamped
+FROM r LEFT JOIN e ON r.doc_id = e.doc_id LEFT JOIN w ON r.doc_id = w.doc_id"""
+
+
+@R.query(sql_rescue("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || 'Traceback: it failed at step ' || doc_id || chr(10) || text WHEN doc_id % 5 = 0 THEN text || 'assertion' || text ELSE text END AS text FROM documents", 900))
 def clamp_with_rescue(t):
-    """Texts with errors in their middle, clamped with lines that name an error kept; a plain version in the tests says the same."""
-    noisy = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nTraceback: it failed at step "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))).otherwise(F.col("text"))
-    return t.documents.select("doc_id", O.clamp_tool(900)(noisy).alias("clamped"))
+    """Texts with errors in their middle, some within a line, clamped with lines that name an error kept."""
+    step = F.concat("text", F.lit("\nTraceback: it failed at step "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
+    noisy = F.when(F.col("doc_id") % 2 == 0, step).when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("assertion"), "text")).otherwise(F.col("text"))
+    return t.documents.select("doc_id", T.clamp_rescuing(noisy, 900).alias("clamped"))
 
 
 @R.query(f"SELECT doc_id, sha256({_sql_hidden('c')}) AS digest FROM (SELECT doc_id, {_sql_clamp('r', 400)} AS c FROM (SELECT doc_id, {_sql_hidden('body')} AS r FROM ({_SECRETIVE})))")
@@ -223,7 +244,19 @@ def message_predicates(t):
     return rows.select("conv_id", "turn", O.orphan_text().alias("orphan"), ((F.col("role") == "assistant") & ~O.calls_tool() & ~O.orphan_text()).alias("speaks"), O.needs_cap().alias("capped"))
 
 
-@R.query()
+@R.query(
+    f"""WITH RECURSIVE s AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' WHEN role = 'tool_result' AND coalesce(call_id, '') <> '' THEN 'tool' ELSE 'assistant' END AS role, turn * CASE WHEN conv_id % 2 = 0 THEN 1000 ELSE 0 END AS ts,
+CASE WHEN role IN ('user', 'assistant') THEN coalesce(content, '') WHEN role = 'reasoning' THEN '[reasoning] ' || coalesce(content, '') WHEN coalesce(call_id, '') = '' THEN '[' || role || '] ' || coalesce(content, '') WHEN role = 'tool_call' AND coalesce(content, '') = '' THEN '[Tool: run]' ELSE coalesce(content, '') END AS content,
+role IN ('tool_call', 'tool_result') AND coalesce(call_id, '') <> '' AS paired FROM ({MESSAGES}) WHERE role IN ('user', 'assistant', 'tool_call', 'tool_result', 'reasoning')),
+o AS (SELECT *, role = 'assistant' AND paired AS calls, role = 'assistant' AND NOT paired AND (starts_with(content, '[tool_result]') OR starts_with(content, '[reasoning]') OR starts_with(content, '[tool_call]')) AS orphan FROM s),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, content, orphan, calls, ts) AS i FROM o),
+f AS (SELECT conv_id, i, 0 AS place, role, content, calls, orphan, ts FROM m WHERE i = 1 UNION ALL
+SELECT conv_id, i, CASE WHEN joins THEN place ELSE place + 1 END, CASE WHEN joins THEN r0 ELSE r1 END, CASE WHEN joins THEN c0 || chr(10) || c1 ELSE c1 END, CASE WHEN joins THEN k0 ELSE k1 END, CASE WHEN joins THEN o0 ELSE o1 END, CASE WHEN joins THEN t0 ELSE t1 END
+FROM (SELECT f.conv_id, m.i, f.place, f.role AS r0, m.role AS r1, f.content AS c0, m.content AS c1, f.calls AS k0, m.calls AS k1, f.orphan AS o0, m.orphan AS o1, f.ts AS t0, m.ts AS t1, m.orphan AND f.role = 'assistant' AND NOT f.calls AND length(f.content) + 1 + length(m.content) <= 4000 AS joins FROM f JOIN m ON f.conv_id = m.conv_id AND m.i = f.i + 1)),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, place ORDER BY i DESC) AS last FROM f) WHERE last = 1),
+h AS (SELECT *, place > coalesce(max(CASE WHEN NOT orphan THEN place END) OVER (PARTITION BY conv_id), -1) AS held FROM g)
+SELECT conv_id, CAST(place AS BIGINT) AS place, role, held, CASE WHEN NOT held THEN CAST(place + 1 + greatest(0, coalesce(max(CASE WHEN ts > 0 THEN ts - place - 1 END) OVER (PARTITION BY conv_id ORDER BY place), 0)) AS BIGINT) END AS unique_ts, sha256(content) AS digest FROM h"""
+)
 def session_preparation(t):
     """Shaped, orphans absorbed by what stands before them, a trailing run of orphans held back, times made unique."""
     rows = O.prepared(O.shaped(_messages(t), F.lit("run")).withColumn("ts", F.col("turn") * F.when(F.col("conv_id") % 2 == 0, 1000).otherwise(0)), 4000)

@@ -166,21 +166,6 @@ def test_stream_status_recounts_late_rows(spark, tmp_path):
     assert seen == {"1": (1, 1, 1)}
 
 
-def test_clamp_keeps_errors_within_the_cap(spark):
-    from memlake.operators import sessions as O
-
-    rng = random.Random(6)
-    lines = ["line %d %s" % (i, "x" * rng.randrange(40)) for i in range(400)]
-    lines[200] = "fatal error: disk full"
-    text = "\n".join(lines)
-    df = spark.createDataFrame([(text,), ("short",), (None,), ("",)], "t string")
-    long, short, none, empty = [r.c for r in df.select(O.clamp(600)(F.col("t")).alias("c")).collect()]
-    assert len(long) <= 600 and "disk full" in long and long.startswith("line 0") and long.endswith(lines[-1])
-    assert (short, none, empty) == ("short", None, "")
-    for n in range(0, 700, 7):
-        assert all(len(O.clamped_text(text, cap)) <= cap for cap in (n, 600))
-
-
 def test_schema_fingerprint_ignores_column_order(spark):
     a, b = spark.range(1).selectExpr("id", "'x' as s"), spark.range(1).selectExpr("'x' as s", "id")
     assert I.schema_fingerprint(a) == I.schema_fingerprint(b) != I.schema_fingerprint(a.drop("s"))

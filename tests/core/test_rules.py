@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,34 +12,38 @@ from memlake.operators import integrity as I
 from memlake.operators import sessions as O
 from memlake.operators import statistics as S
 from memlake.operators import windows as W
+from memlake.plans.shaping import sql_rescue
 
 
-def errors_of(text):
-    return [line for line in text.split("\n") if O.ERRORS.search(line)]
+WORDS = ("error", "FAIL", "Traceback", "exception", "panic", "fatal", "assert")
 
 
-def test_clamp_keeps_head_tail_and_errors_within_the_cap():
+def noisy_texts():
     rng = random.Random(3)
-    for _ in range(400):
-        lines = ["x" * rng.randrange(0, 400) if rng.random() < 0.9 else "y" * rng.randrange(0, 500) + " ERROR " + "z" * rng.randrange(0, 500) for _ in range(rng.randrange(1, 40))]
-        text, cap = "\n".join(lines), rng.choice([0, 200, 250, 600, 1200, 2500])
-        out = O.clamped_tool(text, cap)
-        most = max(cap, 200)
-        assert len(out) <= max(most, len(text) if len(text) <= most else most)
-        if len(text) <= most:
-            assert out == text
-        else:
-            assert f"...[cut {len(text) - len(out.split('...[')[0]) + 1 - len(out.rsplit(' characters]', 1)[1]) + 1} characters]" in out
-            assert text.startswith(out.split("...[")[0][:-1]) and text.endswith(out.rsplit(" characters]\n", 1)[1])
-
-
-def test_clamp_rescues_an_error_of_the_middle():
-    text = "a" * 900 + "\nTraceback: it broke\n" + "b" * 900
-    assert "Traceback: it broke" in O.clamped_tool(text, 600)
-    assert "Traceback" in O.clamped_tool("a" * 900 + "\n" + "c" * 400 + "Traceback" + "d" * 400 + "\n" + "b" * 900, 600)
-    seen = O.clamped_tool("ERROR first\n" + "a" * 2000 + "\nlast ERROR", 600)
-    assert seen.count("ERROR") == 2  # both stand in head and tail already
-    assert O.windowed("abc", 1, 10) == "abc" and len(O.windowed("a" * 100 + "ERROR" + "b" * 100, 100, 30)) == 30
+    out = [None, "", "short", "ERROR first\n" + "a" * 2000 + "\nlast ERROR", "a" * 900 + "\nTraceback: it broke\n" + "b" * 900, "a" * 900 + "\n" + "c" * 400 + "Traceback" + "d" * 400 + "\n" + "b" * 900, "\n" * 700, "x" * 5000, "é" * 300 + "FATAL" + "ü" * 3000 + "panic" + "z" * 300]
+    out += ["".join(rng.choice("ab ") for _ in range(k)) + "exceptionfail" + "y" * 900 for k in range(80, 130, 3)]  # words across the end of a head without lines
+    for _ in range(60):
+        line = lambda: "x" * rng.randrange(0, 400) if rng.random() < 0.7 else "y" * rng.randrange(0, 500) + rng.choice(WORDS) + "z" * rng.randrange(0, 500)
+        out.append(rng.choice(["\n", "\n\n", "  "]).join(line() for _ in range(rng.randrange(1, 25))))
+    return out
+
+
+@pytest.mark.parametrize("cap", [0, 250, 600, 2500])
+def test_clamp_rescues_what_sql_says(spark, cap):
+    """Beside SQL that looks for error words at every place of every line."""
+    texts = list(enumerate(noisy_texts()))
+    con = duckdb.connect()
+    con.execute("create table texts(doc_id bigint, text varchar)")
+    con.executemany("insert into texts values (?, ?)", texts)
+    most = max(cap, T.LEAST)
+    want = dict(con.execute(sql_rescue("SELECT * FROM texts", most)).fetchall())
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").select("doc_id", T.clamp_rescuing(F.col("text"), cap).alias("c"))
+    assert "Python" not in df._jdf.queryExecution().toString()
+    got = {r.doc_id: r.c for r in df.collect()}
+    assert got == want
+    assert all(len(got[k]) <= most for k, _ in texts) and all(got[k] == (t or "") for k, t in texts if len(t or "") <= most)
+    if cap == 600:
+        assert "Traceback: it broke" in got[4] and "Traceback" in got[5] and got[3].count("ERROR") == 2
 
 
 def test_hidden_twice_is_hidden_once(spark):
