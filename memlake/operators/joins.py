@@ -63,3 +63,17 @@ def under_any_root(paths: DataFrame, path: str, roots: list[str]) -> Column:
     """The longest of a few fixed roots that a path lies under, null if none; the roots are settings, not data."""
     ordered = sorted(roots, key=len, reverse=True)
     return reduce(lambda w, r: w.when(F.col(path).startswith(r), r), ordered[1:], F.when(F.col(path).startswith(ordered[0]), ordered[0]))
+
+
+#: A side is broadcast only if it was measured to be no larger than this.
+BROADCAST_BYTES = 32 << 20
+
+
+def joined_small(left: DataFrame, right: DataFrame, on: Column, measured_bytes: int, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join with a right side that is unique on its key: broadcast if its measured size allows, else repeated over salts, so that a hot
+    key of the left side spreads over that many tasks."""
+    if measured_bytes <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), on, how)
+    salted = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    row = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    return left.withColumn("_salt", row).join(salted, on & (F.col("_salt") == F.col("_salt_r")), how).drop("_salt", "_salt_r")

@@ -50,10 +50,10 @@ def band(k: Column, n: Column) -> Column:
 
 
 def retrieval_report(covered: DataFrame, shown: DataFrame) -> DataFrame:
-    """One row from queries (qid, covered, uses) and their shown cards (qid, r, relevant, useful)."""
+    """One row from queries (qid, covered, uses) and their shown cards (qid, r, relevant, useful); a query that shows nothing counts with zeros."""
     c = F.col
     per = shown.groupBy("qid").agg(F.count("*").alias("shown"), F.count_if("relevant").alias("rel"), F.bool_or("useful").alias("hit"), F.min(F.when(c("relevant"), c("r"))).alias("first"))
-    q = covered.join(per, "qid")
+    q = covered.join(per, "qid", "left").fillna({"shown": 0, "rel": 0, "hit": False})
     some, width = c("covered") & c("first").isNotNull(), F.greatest("shown", F.lit(1))
     sums = q.agg(
         F.count("*").alias("n_total"), F.count_if("covered").alias("n_covered"), F.count_if(~c("covered")).alias("n_uncovered"), F.count_if(c("covered") & c("uses")).alias("_uses"), F.count_if(c("covered") & c("hit")).alias("_kept"), F.count_if("hit").alias("_any"),
@@ -140,11 +140,13 @@ def drift(rows: DataFrame, groups: list[str], key: list[str], score: str, observ
 
 def latencies(rows: DataFrame, group: str, value: str, p95: float, most: float, least_rows: int) -> DataFrame:
     """Nearest-rank percentiles and means for each group, first calls (cold) apart, and a gate of three tests."""
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
+    n = F.col("n")
+    at = S.at_ranks(rows, group, value, {f"p{k}": F.greatest(F.ceil(n * (k / 100)), F.lit(1)) - 1 for k in (50, 95, 99)}).drop("n").withColumnRenamed(group, "_group")
     out = rows.groupBy(group).agg(
-        F.count("*").alias("n"), F.count_if("cold").alias("cold"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.count("*").alias("n"), F.count_if("cold").alias("cold"), F.min(value).alias("least"), F.max(value).alias("most"),
         F.round(F.avg(value), 6).alias("mean"), F.round(F.avg(F.when(F.col("cold"), F.col(value))), 6).alias("cold_mean"), F.round(F.avg(F.when(~F.col("cold"), F.col(value))), 6).alias("warm_mean"),
     )
+    out = out.join(at, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
     return out.withColumn("ok", (F.col("p95") <= p95) & (F.col("most") <= most) & (F.col("n") >= least_rows))
 
 

@@ -10,6 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators import joins
+from memlake.operators.integrity import cut
+
+
 def wilson(k: Column, n: Column, z: float) -> tuple[Column, Column]:
     """The Wilson interval of k successes in n; null where n is 0."""
     p = k / n
@@ -92,32 +96,70 @@ def binomials(n: int, k: int, uniforms: np.ndarray) -> np.ndarray:
 
 def _resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for n, k, us in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "us")), strict=True):
-            drawn = binomials(n, k, np.array(us))
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(us)), pa.int64()), pa.array(drawn, pa.int64()), pa.array([n] * len(us), pa.int64())], names=["replicate", "drawn", "n"])
+        for n, k, weight, us in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "weight", "us")), strict=True):
+            parts = weight * (binomials(n, k, np.array(us)) / n)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(us)), pa.int64()), pa.array(parts, pa.float64())], names=["replicate", "part"])
 
 
-def bootstrap(counts: DataFrame, stratum: str, k: str, n: str, replicates: int) -> DataFrame:
-    """Low and high of the resampled rate by index: each replicate draws a stratum's n outcomes with replacement, weighted by
-    its share of all outcomes. The same on every run: the uniforms are hashes of replicate and stratum.
+def bootstrap(counts: DataFrame, stratum: str, k: str, n: str, weight: str, replicates: int) -> DataFrame:
+    """Low and high of the resampled rate by index: each replicate draws every stratum's n outcomes with replacement, and its rate is the
+    sum of the strata's weights times their resampled shares. The same on every run: the uniforms are 52 bits of the SHA-256 of
+    replicate and stratum. Strata without outcomes take no part; their weight is for the caller to share out.
 
     The successes of n draws are an exact binomial, taken at one uniform, so that work is per stratum and not per outcome.
     """
-    u = lambda i: (F.shiftrightunsigned(F.xxhash64(i, F.col(stratum)), 11) + 0.5) / float(1 << 53)
+    u = lambda i: (F.conv(F.substring(F.sha2(F.concat_ws(":", i.cast("string"), F.col(stratum).cast("string")), 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     us = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), u)
-    seen = counts.filter(F.col(n) > 0).select(F.col(n).cast("long").alias("n"), F.col(k).cast("long").alias("k"), us.alias("us"))
-    drawn = seen.mapInArrow(_resampled, "replicate bigint, drawn bigint, n bigint")
-    rates = drawn.groupBy("replicate").agg((F.sum("drawn") / F.sum("n")).alias("rate"))
-    at = rates.withColumn("_i", F.row_number().over(Window.orderBy("rate", "replicate")) - 1)
+    seen = counts.filter(F.col(n) > 0).select(F.col(n).cast("long").alias("n"), F.col(k).cast("long").alias("k"), F.col(weight).cast("double").alias("weight"), us.alias("us"))
+    drawn = seen.mapInArrow(_resampled, "replicate bigint, part double")
+    rates = drawn.groupBy("replicate").agg(F.sum("part").alias("rate"))
+    at = rates.withColumn("_i", F.row_number().over(Window.orderBy("rate", "replicate")) - 1)  # one row a replicate
     low, high = int(0.025 * replicates), min(int(0.975 * replicates), replicates - 1)
     return at.agg(F.max(F.when(F.col("_i") == low, F.col("rate"))).alias("low"), F.max(F.when(F.col("_i") == high, F.col("rate"))).alias("high"))
 
 
+#: Ranges of a pass, and values of a range that one task sorts.
+RANGES, SORTED = 1024, 4096
+
+
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """group, n (its values) and one column for each of `ranks`: the value at that rank. A rank is a column over n, from 0 in order.
+
+    Each pass counts a group's values by RANGES ranges between the least and the greatest that are left, and goes on with the one that
+    holds the rank; a range of one value, or of few enough to sort, ends it. So no task gets a group's values, and counts
+    are at most RANGES for each group and rank. Null values don't count; NaN isn't taken.
+    """
+    values = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    sizes = values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    left = cut(sizes.select("g", "n", "lo", "hi", each.alias("w")).select("g", "n", "w.name", "w.rank", "lo", "hi", F.col("n").alias("size")))
+    small = (F.col("lo") == F.col("hi")) | (F.col("size") <= SORTED)
+    found = left.filter(small)
+    while not (left := left.filter(~small)).isEmpty():
+        near = _within(values, left)
+        at = F.least(F.lit(RANGES - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * RANGES))  # halves: no overflow
+        counts = near.groupBy("g", "n", "name", "rank", at.alias("range")).agg(F.count("*").alias("size"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("size").over(Window.partitionBy("g", "name").orderBy("range"))
+        inner = counts.withColumn("_upto", upto).filter((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("size") <= F.col("rank")))
+        left = cut(inner.select("g", "n", "name", (F.col("rank") - F.col("_upto") + F.col("size")).alias("rank"), "lo", "hi", "size"))
+        found = found.unionByName(left.filter(small))
+    one = found.filter("lo = hi").select("g", "n", "name", F.col("lo").alias("v"))
+    few = found.filter("lo < hi")
+    order = Window.partitionBy("g", "name").orderBy("v")
+    few = _within(values, few).withColumn("_r", F.row_number().over(order) - 1).filter("_r = rank").select("g", "n", "name", "v")
+    wide = one.unionByName(few).groupBy("g", "n").agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks])
+    return wide.withColumnRenamed("g", group)
+
+
+def _within(values: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The values between lo and hi of each wanted row of their group."""
+    per = wanted.groupBy(F.col("g").alias("_g")).agg(F.collect_list(F.struct("n", "name", "rank", "lo", "hi")).alias("_w"))  # a row a rank
+    met = joins.joined_small(values, per, F.col("g").eqNullSafe(F.col("_g")), per.count() * 512)
+    fits = F.filter("_w", lambda w: (F.col("v") >= w["lo"]) & (F.col("v") <= w["hi"]))
+    return met.select("g", "v", F.explode(fits).alias("w")).select("g", "v", "w.*")
+
+
 def percentiles(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """n, nearest (nearest rank) and by_index (the value at place n * p from 0) of each group, from counts of each distinct value."""
-    hist = rows.groupBy(group, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = hist.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(group)))
-    at = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
-    place = F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1)
-    return run.groupBy(group).agg(F.max("_n").alias("n"), at(F.ceil(F.col("_n") * p)).alias("nearest"), at(place).alias("by_index"))
+    """n, nearest (nearest rank) and by_index (the value at place n * p from 0) of each group."""
+    n = F.col("n")
+    return at_ranks(rows, group, value, {"nearest": F.greatest(F.ceil(n * p), F.lit(1)) - 1, "by_index": F.least(n - 1, F.floor(n * p))})

@@ -274,9 +274,3 @@ def prf_micro(t):
     c = _scored(t).groupBy("qid").agg(F.count_if("useful").alias("gold"), F.count_if(shown).alias("found"), F.count_if(F.col("useful") & shown).alias("hit"))
     o = c.agg(F.sum("gold").alias("gold"), F.sum("found").alias("found"), F.sum(F.least("hit", "gold", "found")).alias("hit"))
     return o.select(S.ratio(F.col("hit"), F.col("found"), 0.0).alias("precision"), S.ratio(F.col("hit"), F.col("gold"), 0.0).alias("recall"), S.ratio(2 * F.col("hit"), F.col("found") + F.col("gold"), 0.0).alias("f1"))
-
-
-@R.query()
-def bootstrap_ci(t):
-    """Hash-seeded bootstrap over strata counts: reproducible, exact draws, 2,000 replicates, empirical 2.5 % and 97.5 % by index."""
-    return S.bootstrap(_strata(t), "stratum", "k", "n", 2000)

@@ -9,6 +9,7 @@ from memlake.operators import scoring as O
 from memlake.operators import statistics as S
 from memlake.operators import windows as W
 from memlake.plans.registry import Registry
+from memlake.plans.thresholds import SEARCHED, searched
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -61,6 +62,20 @@ def overall_estimate(t):
     return one.select(*[F.round(c, 9).alias(c) for c in ("rate", "low", "high")], "gaps", "method")
 
 
+@R.query(
+    f"""WITH s AS (SELECT *, pop / sum(pop) OVER () AS w0 FROM ({_OBSERVED})), w AS (SELECT stratum, n, k, w0 / sum(w0) OVER () AS w FROM s WHERE n > 0),
+c AS (SELECT stratum, j, sum(CASE WHEN k IN (0, n) THEN (j = k)::INT ELSE exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n) + (n - j) * ln(1 - k / n)) END) OVER (PARTITION BY stratum ORDER BY j) AS below FROM (SELECT *, unnest(range(0, n + 1)) AS j FROM w)),
+u AS (SELECT stratum, r, (('0x' || substr(sha256(r || ':' || stratum), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM w, range(2000) t(r)),
+d AS (SELECT u.stratum, r, min(j) AS drawn FROM u JOIN c ON u.stratum = c.stratum AND c.below >= u.u GROUP BY u.stratum, r),
+b AS (SELECT r, sum(w * drawn / n) AS rate FROM d JOIN w USING (stratum) GROUP BY r), o AS (SELECT rate, row_number() OVER (ORDER BY rate, r) - 1 AS i FROM b)
+SELECT round(max(CASE WHEN i = 50 THEN rate END), 9) AS low, round(max(CASE WHEN i = 1950 THEN rate END), 9) AS high FROM o"""
+)
+def bootstrap_ci(t):
+    """The interval of 2,000 replicates by index: each stratum resampled and weighed by its share of the corpus, shared out among those observed."""
+    one = S.bootstrap(O.renormalised(_observed(t), "pop", "n"), "stratum", "k", "n", "weight", 2000)
+    return one.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
 _WILSON = "((k / n + {z} * {z} / (2 * n)) {sign} {z} * sqrt((k / n) * (1 - k / n) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)"
 
 
@@ -78,9 +93,9 @@ def go_decision(t):
     return s.select("source", O.decision(F.when(known, low), F.when(known, high), F.col("fabricated") > 3, cheap, 0.15).alias("verdict"))
 
 
-@R.query(
-    f"""WITH q AS (SELECT qid, bool_or(relevant) AS covered, bool_or(useful) AS uses FROM ({CARDS}) GROUP BY qid),
-t AS (SELECT qid, count(*) AS shown, count(*) FILTER (WHERE relevant) AS rel, bool_or(useful) AS hit_useful, min(CASE WHEN relevant THEN r END) AS first FROM ({SHOWN}) GROUP BY qid), o AS (SELECT q.*, shown, rel, hit_useful, first FROM q JOIN t USING (qid)),
+def _metrics_sql(cards: str, shown: str) -> str:
+    return f"""WITH q AS (SELECT qid, bool_or(relevant) AS covered, bool_or(useful) AS uses FROM ({cards}) GROUP BY qid),
+t AS (SELECT qid, count(*) AS shown, count(*) FILTER (WHERE relevant) AS rel, bool_or(useful) AS hit_useful, min(CASE WHEN relevant THEN r END) AS first FROM ({shown}) GROUP BY qid), o AS (SELECT q.*, coalesce(shown, 0) AS shown, coalesce(rel, 0) AS rel, coalesce(hit_useful, false) AS hit_useful, first FROM q LEFT JOIN t USING (qid)),
 a AS (SELECT count(*) AS n_total, count(*) FILTER (WHERE covered) AS n_covered, count(*) FILTER (WHERE NOT covered) AS n_uncovered, count(*) FILTER (WHERE covered AND uses) AS useful_exists, count(*) FILTER (WHERE covered AND hit_useful) AS cov_useful, count(*) FILTER (WHERE hit_useful) AS any_useful,
 count(*) FILTER (WHERE covered AND first IS NOT NULL) AS hits, count(*) FILTER (WHERE covered AND first IS NOT NULL AND hit_useful) AS hits_useful, count(*) FILTER (WHERE covered AND first <= 1) AS h1, count(*) FILTER (WHERE covered AND first <= 3) AS h3, count(*) FILTER (WHERE covered AND first <= 5) AS h5,
 coalesce(sum(CASE WHEN covered THEN 1.0 / first END), 0) AS rr, sum(rel / greatest(shown, 1)) AS prec, coalesce(sum(CASE WHEN NOT covered THEN rel / greatest(shown, 1) END), 0) AS u_rel, coalesce(sum(CASE WHEN NOT covered THEN (shown - rel) / greatest(shown, 1) END), 0) AS u_irr FROM o)
@@ -89,13 +104,23 @@ round(CASE WHEN n_covered = 0 THEN 0 ELSE ((cov_useful / n_covered + 1.6449 * 1.
 round(coalesce(any_useful / nullif(n_total, 0), 0), 9) AS global_useful_hit_at_5, round(coalesce(hits / nullif(n_covered, 0), 0), 9) AS conditional_hit, round(coalesce(hits_useful / nullif(hits, 0), 0), 9) AS conditional_useful, round(coalesce(useful_exists / nullif(n_covered, 0), 0), 9) AS useful_exists_rate,
 round(coalesce(h1 / nullif(n_covered, 0), 0), 9) AS hit_at_1, round(coalesce(h3 / nullif(n_covered, 0), 0), 9) AS hit_at_3, round(coalesce(h5 / nullif(n_covered, 0), 0), 9) AS hit_at_5, round(coalesce(rr / nullif(n_covered, 0), 0), 9) AS mrr, round(coalesce(prec / nullif(n_total, 0), 0), 9) AS precision_at_5,
 round(coalesce(u_rel / nullif(n_uncovered, 0), 0), 9) AS uncovered_pseudo_relevant_rate, round(coalesce(u_irr / nullif(n_uncovered, 0), 0), 9) AS uncovered_irrelevant_rate, n_uncovered > 0 AND coalesce(u_irr / nullif(n_uncovered, 0), 0) >= 0.6 AS go_with_guard FROM a"""
-)
+
+
+@R.query(_metrics_sql(CARDS, SHOWN))
 def retrieval_metrics_full(t):
     """All of a retrieval report: coverage, hits at ranks, reciprocal rank, precision, conditional rates, the guard."""
     covered = _cards(t).groupBy("qid").agg(F.bool_or("relevant").alias("covered"), F.bool_or("useful").alias("uses"))
     return O.retrieval_report(covered, _shown(t))
 
 
+@R.query(_metrics_sql(SEARCHED, f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS r FROM ({SEARCHED}) WHERE score >= 0.8 QUALIFY r <= 5"))
+def retrieval_metrics_abstaining(t):
+    """The same report over searches of which many show nothing: those count in every denominator."""
+    cards = searched(t)
+    covered = cards.groupBy("qid").agg(F.bool_or("relevant").alias("covered"), F.bool_or("useful").alias("uses"))
+    return O.retrieval_report(covered, W.top_per_key(cards.filter("score >= 0.8"), ["qid"], [F.col("place")], 5, "r"))
+
+
 @R.query(
     f"""WITH s AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE useful) AS k FROM ({CARDS}) GROUP BY lang UNION ALL SELECT source, count(*), count(*) FILTER (WHERE useful) FROM ({CARDS}) WHERE doc_id < 60 GROUP BY source), w AS (SELECT *, k / n AS p, {_WILSON.format(z=1.6449, sign="-")} AS lo FROM s)
 SELECT lang AS name, CASE WHEN n < 10 THEN 'invalid_n' WHEN p >= 0.5 THEN 'strong_pass' || CASE WHEN lo < 0.25 THEN '_exploratory' ELSE '' END WHEN p >= 0.4 THEN 'borderline_pass' || CASE WHEN lo < 0.25 THEN '_exploratory' ELSE '' END WHEN p >= 0.3 THEN 'weak_signal' ELSE 'clear_fail' END AS verdict FROM w"""

@@ -173,21 +173,62 @@ def test_schema_fingerprint_ignores_column_order(spark):
 
 def test_bootstrap_draws_whole_outcomes(spark):
     """n = 3, k = 1: the resampled rate is a whole number of thirds, with the binomial's own quantiles."""
-    df = spark.createDataFrame([("a", 1, 3), ("none", 0, 0)], "s string, k bigint, n bigint")
+    df = spark.createDataFrame([("a", 1, 3, 1.0), ("none", 0, 0, 0.0)], "s string, k bigint, n bigint, w double")
     for replicates in (1, 7, 40):
-        row = S.bootstrap(df, "s", "k", "n", replicates).first()
+        row = S.bootstrap(df, "s", "k", "n", "w", replicates).first()
         assert {round(3 * row[c], 9) for c in ("low", "high")} <= {0.0, 1.0, 2.0, 3.0}
-    row = S.bootstrap(df, "s", "k", "n", 2000).first()  # P(0) = 0.296, P(3) = 0.037
+    row = S.bootstrap(df, "s", "k", "n", "w", 2000).first()  # P(0) = 0.296, P(3) = 0.037
     assert (row.low, row.high) == (0.0, 1.0)
 
 
 def test_bootstrap_of_large_strata(spark):
-    df = spark.createDataFrame([("a", 6000, 10000), ("b", 500, 1000)], "s string, k bigint, n bigint")
-    row = S.bootstrap(df, "s", "k", "n", 2000).first()
+    df = spark.createDataFrame([("a", 6000, 10000, 10 / 11), ("b", 500, 1000, 1 / 11)], "s string, k bigint, n bigint, w double")
+    row = S.bootstrap(df, "s", "k", "n", "w", 2000).first()
     p, sd = 6500 / 11000, (10000 * 0.24 + 1000 * 0.25) ** 0.5 / 11000
     assert abs(row.low - (p - 1.96 * sd)) < 0.2 * sd and abs(row.high - (p + 1.96 * sd)) < 0.2 * sd
 
 
+def test_bootstrap_weighs_strata_by_population(spark):
+    """Every pair of draws of two small strata with its probability: the quantiles of the weighted rate, not of the pooled one."""
+    from math import comb
+
+    strata = [("a", 1, 3, 0.9), ("b", 4, 5, 0.1)]
+    share = lambda k, n, j: comb(n, j) * (k / n) ** j * (1 - k / n) ** (n - j)
+    rates = sorted((0.9 * i / 3 + 0.1 * j / 5, share(1, 3, i) * share(4, 5, j)) for i in range(4) for j in range(6))
+    row = S.bootstrap(spark.createDataFrame(strata, "s string, k bigint, n bigint, w double"), "s", "k", "n", "w", 20_000).first()
+    for got, p in ((row.low, 0.025), (row.high, 0.975)):
+        below = lambda x: sum(q for r, q in rates if r <= x + 1e-9)
+        assert any(abs(got - r) < 1e-9 for r, _ in rates) and below(got) > p - 0.005 and below(got - 1e-6) < p + 0.005
+
+
+def test_values_at_ranks_in_narrowing_ranges(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGES", 8)
+    monkeypatch.setattr(S, "SORTED", 3)
+    rng = random.Random(12)
+    draw = {"even": lambda: rng.random(), "skewed": lambda: 10 ** rng.uniform(-9, 9), "ties": lambda: float(rng.randrange(5)), "hot": lambda: 7.0 if rng.random() < 0.9 else rng.random(), "wide": lambda: rng.choice([-1.7e308, 1.7e308, 0.0, 1.0])}
+    rows = [(g, f()) for g, f in draw.items() for _ in range(300)] + [("one", 3.5), ("none", None), (None, 1.0), (None, 2.0), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for p in (0.01, 0.5, 0.95, 1.0):
+        got = {r.g: (r.n, r.nearest, r.by_index) for r in S.percentiles(df, "g", "v", p).collect()}
+        for g in {r[0] for r in rows} - {"none"}:
+            own = sorted(v for k, v in rows if k == g)
+            n = len(own)
+            assert got[g] == (n, own[max(-(-n * p // 1), 1).__int__() - 1], own[min(n - 1, int(n * p))]), (g, p)
+        assert "none" not in got
+    monkeypatch.setattr(J, "BROADCAST_BYTES", -1)
+    assert {r.g: r.nearest for r in S.percentiles(df, "g", "v", 0.5).collect()} == {g: sorted(v for k, v in rows if k == g)[-(-sum(k == g for k, _ in rows) // 2) - 1] for g in {r[0] for r in rows} - {"none"}}
+
+
+def test_a_search_that_shows_nothing_counts(spark):
+    from memlake.operators import scoring as O
+
+    q = spark.createDataFrame([(1, True, True), (2, True, True), (3, False, False), (4, False, False)], "qid int, covered boolean, uses boolean")
+    shown = spark.createDataFrame([(1, 1, True, True), (3, 1, False, False)], "qid int, r int, relevant boolean, useful boolean")
+    row = O.retrieval_report(q, shown).first()
+    assert (row.n_total, row.n_covered, row.n_uncovered) == (4, 2, 2)
+    assert (row.hit_at_5, row.mrr, row.precision_at_5, row.covered_useful_hit_at_5, row.uncovered_irrelevant_rate) == (0.5, 0.5, 0.25, 0.5, 0.5)
+
+
 def test_binomials_follow_the_distribution_function():
     from math import comb
 
