@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,14 +50,20 @@ def walk_chain(links: DataFrame, node: str, prev: str) -> DataFrame:
     return walked.select(node, F.when(~orphan, F.col("depth")).alias("depth"), orphan.alias("orphan"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, checkpointed in the folder of spark.checkpoint.dir; local sessions without one get one."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that driver and executors share; only a local session without one gets its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-memlake-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -13,6 +13,17 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select("file", F.try_parse_json("value").isNull().alias("torn"), parsed.alias("row")).select("file", "torn", "row.*")
 
 
+def segments(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines in folders, one a segment: segment (the folder's name), torn, and the schema's fields (null if torn).
+
+    Files are read by byte ranges that begin after a line's end, whatever a range holds of the line before, so a segment of any size is read by
+    many tasks and each line by one. Blank lines are left out.
+    """
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(folder.alias("segment"), "value").filter(F.trim("value") != "")
+    return lines.select("segment", F.try_parse_json("value").isNull().alias("torn"), F.from_json("value", schema).alias("row")).select("segment", "torn", "row.*")
+
+
 def torn_rows(rows: DataFrame) -> DataFrame:
     """How many lines of each file were torn."""
     return rows.groupBy("file").agg(F.count_if("torn").alias("torn"), F.count("*").alias("lines"))

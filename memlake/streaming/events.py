@@ -37,3 +37,42 @@ def append_once(path: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+#: A day and a week in milliseconds.
+DAY, WEEK = 86_400_000, 7 * 86_400_000
+
+
+def review_timers(stream: DataFrame, key: str, ts: str, reviewed: str, days: int) -> DataFrame:
+    """key, step, state, at: what becomes of each key's review, which is due `days` after its first row and overdue a week after that.
+
+    Keyed state with event-time timers: `ok` at the first row; `due` and `overdue` when the watermark passes their time without a review
+    at or after the due time; `ok` again with such a review, for good. `reviewed` is a boolean column, `at` milliseconds. A key's state is
+    three numbers and its stage. Rows behind the watermark are dropped, so deal them out in order of time or allow for lateness.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(group: tuple, batches, state: GroupState):
+        first, last, stage, n = state.get if state.exists else (None, None, "new", 0)
+        seen = [b for b in batches] if not state.hasTimedOut else []
+        for b in seen:
+            first = min(x for x in (first, int(b["_ms"].min())) if x is not None)
+            done = b.loc[b["_done"], "_ms"]
+            last = max((x for x in (last, int(done.max()) if len(done) else None) if x is not None), default=None)
+        due, out = first + days * DAY, []
+        now = state.getCurrentWatermarkMs()
+        want = "ok" if last is not None and last >= due else "overdue" if now >= due + WEEK else "due" if now >= due else "ok"
+        cleared = want == "ok" and last is not None and last >= due
+        if want != stage:
+            out.append((group[0], n, want, {"ok": last if cleared else first, "due": due, "overdue": due + WEEK}[want]))
+            stage, n = want, n + 1
+        state.update((first, last, stage, n))
+        if not cleared and stage != "overdue":
+            state.setTimeoutTimestamp(max((due if stage == "ok" else due + WEEK) - 1, now + 1))  # fires once the watermark is beyond it
+        if out:
+            yield pd.DataFrame(out, columns=["key", "step", "state", "at"])
+
+    rows = stream.withWatermark(ts, "0 seconds").select(F.col(key).alias("key"), F.col(ts), F.unix_millis(ts).alias("_ms"), F.col(reviewed).alias("_done"))
+    kind = stream.schema[key].dataType.simpleString()
+    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, step bigint, state string, at bigint", "first bigint, last bigint, stage string, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
