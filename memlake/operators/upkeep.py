@@ -102,45 +102,3 @@ def chain_verdicts(c: DataFrame) -> DataFrame:
 def beyond(rows: DataFrame, recorded: DataFrame, key: str, at: str, without: list[str]) -> DataFrame:
     """Rows after what is recorded for their key (upto), but for excluded keys; keys without a record have none."""
     return rows.filter(~F.col(key).isin(*without)).join(recorded, key).filter(F.col(at) > F.col("upto"))
-
-
-#: Queries that stand in one block.
-BLOCK = 512
-
-
-def cosine_blocks(vectors: DataFrame, key: str, vec: str, asked: str, k: int) -> DataFrame:
-    """query_id, key, place: the k nearest rows by cosine of each asked row, exactly; `asked` is a condition on id. Rows without an id and vectors
-    that are null, zero or not finite take no part; vectors of different lengths never meet.
-
-    Queries are packed into blocks of at most BLOCK vectors (by hash, their number from a count); each block meets each
-    partition of all vectors once, in numpy, and only k rows for each query leave it.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v")).filter("id is not null and size(v) > 0")
-    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn("n", F.size("v"))
-    queries = rows.filter(asked)
-    blocks = max(1, -(-queries.count() // BLOCK))
-    parts = max(1, -(-rows.count() // 50_000))
-    q = queries.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"), "n", "id", "v")
-    c = rows.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("p"), "n", "id", "v")
-
-    def meet(asks: pa.Table, cards: pa.Table) -> pa.Table:
-        out = {"query_id": [], "id": [], "score": []}
-        if asks.num_rows and cards.num_rows:
-            unit = lambda t: (m := np.array(t["v"].to_pylist())) / np.linalg.norm(m, axis=1, keepdims=True)
-            ids = cards["id"].to_numpy()
-            score = np.round(unit(asks) @ unit(cards).T, 9)
-            for q_id, row in zip(asks["id"].to_pylist(), score, strict=True):
-                row[ids == q_id] = -np.inf
-                best = np.lexsort((ids, -row))[:k]
-                best = best[row[best] > -np.inf]
-                out["query_id"] += [q_id] * len(best)
-                out["id"] += ids[best].tolist()
-                out["score"] += row[best].tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    met = q.groupBy("b", "p", "n").cogroup(c.groupBy("b", "p", "n")).applyInArrow(meet, "query_id bigint, id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= k).select("query_id", F.col("id").alias(key), "place")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from memlake.operators import pivots
 from memlake.operators import integrity as I
 from memlake.operators import upkeep as O
 from memlake.operators import windows as W
@@ -382,5 +383,5 @@ def closure_outcomes(t):
 
 @R.query("SELECT q.vec_id AS query_id, c.vec_id, place FROM (SELECT q.vec_id AS qid, c.vec_id AS cid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) DESC, c.vec_id) AS place FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) p JOIN embeddings q ON q.vec_id = p.qid JOIN embeddings c ON c.vec_id = p.cid WHERE place <= 10")
 def cosine_topk_all(t):
-    """Every twentieth vector against all others: blocks of queries meet partitions of vectors, each returns its ten best."""
-    return O.cosine_blocks(t.embeddings, "vec_id", "embedding", "id % 20 = 0", 10)
+    """Every twentieth vector against all others: blocks around pivots that can't hold one of the ten nearest aren't read."""
+    return pivots.nearest_rows(t.embeddings, "vec_id", "embedding", F.col("id") % 20 == 0, 10)[0]
