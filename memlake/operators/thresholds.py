@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.integrity import cut
+from memlake.operators.joins import joined_small
+
 #: What a query adds to a pair: it abstains though it must, keeps something useful, its false discovery in UNIT-ths, shows anything though covered.
 SUMS = ("abst", "kept", "fdr", "ne")
 
@@ -80,3 +83,52 @@ def pair_slacks(cards: DataFrame, first_kind: str, limit: int = 5, abstain: floa
     best = out.filter("slack >= 0").agg(F.max(F.struct("slack", "theta_case", "theta_skill")).alias("_best"))
     chosen = F.coalesce(F.struct("slack", "theta_case", "theta_skill") == F.col("_best"), F.lit(False))
     return out.crossJoin(F.broadcast(best)).withColumn("chosen", chosen).drop("_best")  # one row
+
+
+def totals_from_the_top(points: DataFrame, by: str, sums: tuple[str, ...]) -> DataFrame:
+    """Each row's running totals of `sums` over the rows with `by` no smaller than its own; `by` is unique.
+
+    Rows are dealt out by range and summed within their range; the ranges' totals, one row each, are added.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(points.repartitionByRange(parts, F.desc(by)).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums])
+    ranges = ranges.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_above_{c}") for c in sums])  # a row a partition
+    rows = dealt.withColumns({c: F.sum(c).over(own) for c in sums})
+    return joined_small(rows, ranges, F.col("_part") == F.col("_p"), parts * 64).withColumns({c: F.col(c) + F.col(f"_above_{c}") for c in sums}).select(*points.columns)
+
+
+def sweep_all(scored: DataFrame, score: str, relevant: Column) -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall at every distinct score; a row is counted once, at its own score, whatever the number of thresholds."""
+    points = scored.select(F.col(score).alias("threshold"), relevant.alias("_rel")).groupBy("threshold").agg(F.count_if("_rel").alias("tp"), F.count_if(~F.col("_rel")).alias("fp"))
+    good = points.agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("_good"))
+    out = totals_from_the_top(points, "threshold", ("tp", "fp")).crossJoin(F.broadcast(good)).withColumn("fn", F.col("_good") - F.col("tp")).drop("_good")  # one row
+    share = lambda a, b: F.when(b == 0, 1.0).otherwise(a / b)
+    return out.withColumns({"precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})
+
+
+def floors_all(cards: DataFrame, limit: int = 5) -> DataFrame:
+    """theta, and how many queries abstain as they must, keep something useful, show anything though covered, and the covered ones' false discovery, at every
+    distinct score; cards as for pair_slacks, of any kind.
+
+    A query's outcome changes only at its own scores: each leaves the difference to its outcome at the next higher one, and running sums of the
+    differences are the totals. So a card counts once, not once a threshold. False discovery is in whole UNIT-ths until the end.
+    """
+    unit = math.lcm(*range(1, limit + 1))
+    card = F.struct("place", "score", (F.col("excluded") | ~F.col("relevant")).alias("bad"), "excluded", "useful")
+    queries = cards.groupBy("qid").agg(F.array_sort(F.collect_list(card)).alias("cards"), F.bool_or("relevant").alias("covered"), F.reverse(F.array_sort(F.collect_set("score"))).alias("own"))
+
+    def outcome(theta: Column) -> Column:
+        passed = F.slice(F.filter("cards", lambda c: c["score"] >= theta), 1, limit)  # nothing passes a null
+        n, bad = F.size(passed), F.size(F.filter(passed, lambda c: c["bad"]))
+        fdr = F.when(n == 0, 0).when(F.forall(passed, lambda c: c["excluded"]), unit).otherwise(F.try_divide(bad * unit, n))
+        return F.struct((~F.col("covered") & (n == 0)).cast("long").alias("abst"), F.exists(passed, lambda c: c["useful"]).cast("long").alias("kept"), (F.col("covered") & (n > 0)).cast("long").alias("ne"), F.when(F.col("covered"), fdr).otherwise(0).cast("long").alias("fdr"))
+
+    steps = queries.select("cards", "covered", F.posexplode("own").alias("i", "theta"), F.when(F.col("i") > 0, F.get("own", F.col("i") - 1)).alias("_above"))
+    steps = steps.select("theta", outcome(F.col("theta")).alias("now"), outcome(F.col("_above")).alias("before"))
+    points = steps.groupBy("theta").agg(*[F.sum(F.col(f"now.{m}") - F.col(f"before.{m}")).alias(m) for m in SUMS])
+    start = queries.agg(F.count_if(~F.col("covered")).alias("_unc"))  # above all scores every query abstains
+    out = totals_from_the_top(points, "theta", SUMS).crossJoin(F.broadcast(start))  # one row
+    return out.select("theta", (F.col("abst") + F.col("_unc")).alias("abstained"), "kept", F.col("ne").alias("shown"), F.round(F.col("fdr") / unit, 9).alias("false_discovery"))

@@ -44,3 +44,33 @@ SELECT b.*, EXISTS (SELECT 1 FROM w WHERE wc = theta_case AND ws = theta_skill)
 def threshold_pairs_fitted(t):
     """Every pair of thresholds of two kinds with its four slacks, and the pair to take, from one summed-area table."""
     return O.pair_slacks(searched(t), "case")
+
+
+#: As SEARCHED, with a score of its own for almost every card.
+_FINE = f"SELECT * REPLACE (((doc_id * 7919 + 13) % 1000003) / 1000003.0 AS score) FROM ({SEARCHED})"
+
+
+def _fine(t):
+    return searched(t).withColumn("score", ((F.col("doc_id") * 7919 + 13) % 1000003) / 1000003.0)
+
+
+@R.query(
+    f"""WITH p AS (SELECT score AS threshold, count(*) FILTER (WHERE relevant) AS good, count(*) FILTER (WHERE NOT relevant) AS bad FROM ({_FINE}) GROUP BY score),
+r AS (SELECT threshold, sum(good) OVER (ORDER BY threshold DESC) AS tp, sum(bad) OVER (ORDER BY threshold DESC) AS fp, sum(good) OVER () AS good FROM p)
+SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(good - tp AS BIGINT) AS fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN good = 0 THEN 1.0 ELSE tp / good END AS recall FROM r"""
+)
+def sweep_every_score(t):
+    """Precision and recall with every distinct score as a threshold."""
+    return O.sweep_all(_fine(t), "score", F.col("relevant"))
+
+
+@R.query(
+    f"""WITH c AS ({_FINE}), h AS (SELECT DISTINCT score AS theta FROM c), q AS (SELECT qid, bool_or(relevant) AS covered FROM c GROUP BY qid),
+r AS (SELECT theta, c.*, row_number() OVER (PARTITION BY theta, qid ORDER BY place) AS r FROM c, h WHERE score >= theta),
+s AS (SELECT theta, qid, count(*) AS n, count(*) FILTER (WHERE excluded OR NOT relevant) AS bad, bool_and(excluded) AS only, bool_or(useful) AS hit FROM r WHERE r <= 5 GROUP BY theta, qid),
+o AS (SELECT h.theta, q.covered, coalesce(s.n, 0) AS n, coalesce(s.hit, false) AS hit, CASE WHEN s.n IS NULL THEN 0 WHEN s.only THEN 1 ELSE s.bad / s.n END AS fdr FROM h CROSS JOIN q LEFT JOIN s ON s.theta = h.theta AND s.qid = q.qid)
+SELECT theta, count(*) FILTER (WHERE NOT covered AND n = 0) AS abstained, count(*) FILTER (WHERE hit) AS kept, count(*) FILTER (WHERE covered AND n > 0) AS shown, round(coalesce(sum(fdr) FILTER (WHERE covered), 0), 9) AS false_discovery FROM o GROUP BY theta"""
+)
+def floors_every_score(t):
+    """What the floors are made of with every distinct score as a threshold."""
+    return O.floors_all(_fine(t))

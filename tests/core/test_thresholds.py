@@ -3,6 +3,8 @@
 import random
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from memlake.operators import thresholds as O
 
 SCHEMA = "qid int, kind string, score double, place bigint, relevant boolean, useful boolean, excluded boolean"
@@ -45,3 +47,21 @@ def test_pairs_equal_a_walk(spark):
 
 def test_no_cards(spark):
     assert O.pair_slacks(spark.createDataFrame([], SCHEMA), "a").collect() == []
+
+
+def test_all_scores_as_thresholds(spark):
+    rng = random.Random(7)
+    cards = [(q, rng.choice("ab"), rng.random() if q % 2 else rng.randrange(6) / 6, p, rng.random() < 0.6, rng.random() < 0.4, rng.random() < 0.2) for q in range(40) for p in range(rng.randrange(1, 9))]
+    df = spark.createDataFrame(cards, SCHEMA)
+    thetas = sorted({c[2] for c in cards})
+    curve = {r.threshold: (r.tp, r.fp, r.fn) for r in O.sweep_all(df, "score", F.col("relevant")).collect()}
+    assert curve == {t: (sum(c[4] and c[2] >= t for c in cards), sum(not c[4] and c[2] >= t for c in cards), sum(c[4] and c[2] < t for c in cards)) for t in thetas}
+    queries = {q: sorted((c for c in cards if c[0] == q), key=lambda c: c[3]) for q in {c[0] for c in cards}}
+    want = {}
+    for t in thetas:
+        shown = {q: [c for c in cs if c[2] >= t][:3] for q, cs in queries.items()}
+        covered = {q for q, cs in queries.items() if any(c[4] for c in cs)}
+        fdr = sum(Fraction(0) if not s else Fraction(1) if all(c[6] for c in s) else Fraction(sum(c[6] or not c[4] for c in s), len(s)) for q, s in shown.items() if q in covered)
+        want[t] = (sum(not s for q, s in shown.items() if q not in covered), sum(any(c[5] for c in s) for s in shown.values()), sum(bool(shown[q]) for q in covered), round(float(fdr), 9))
+    assert {r.theta: (r.abstained, r.kept, r.shown, r.false_discovery) for r in O.floors_all(df, 3).collect()} == want
+    assert O.floors_all(spark.createDataFrame([], SCHEMA)).collect() == [] and O.sweep_all(spark.createDataFrame([], SCHEMA), "score", F.col("relevant")).collect() == []
