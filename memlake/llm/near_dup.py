@@ -37,6 +37,8 @@ OVERLAP = 32
 MARGIN = 0.6
 #: A list with more members than this is settled on whole sets.
 SHORT = 32
+#: Classes among which frequent values are looked for, and how many of these make a value frequent.
+HOT_SAMPLE, HOT_SEEN = 20_000, 40
 #: Words whose hashes a task holds at once, and the longest that it holds, in bytes.
 CACHE_WORDS, LONG_WORD = 100_000, 64
 
@@ -203,6 +205,26 @@ def _long_lists(member: DataFrame, lists: DataFrame, texts: DataFrame, width: in
     return found
 
 
+def _held_values(classes: DataFrame) -> DataFrame:
+    """id, v, df: each class's retained values that another class retains too, and how many do.
+
+    A value that many classes retain is counted where they are and joined by broadcast; the others meet by value, both sides in one
+    exchange (counting ids, which are never null, keeps its columns the same). Which values these are is looked up among the classes
+    of every S-th hash, about HOT_SAMPLE: a class retains K values at most, so no more than K * HOT_SAMPLE / HOT_SEEN of them are seen HOT_SEEN
+    times. It decides about the way only: whatever it takes for frequent or rare, the counts are exact.
+    """
+    values = classes.select("id", F.explode("sketch").alias("v")).filter("id is not null and v is not null")
+    every = max(1, classes.count() // HOT_SAMPLE)
+    seen = values.filter(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(every)) == 0).groupBy("v").agg(F.count("id").alias("_seen"))
+    hot = written(seen.filter(F.col("_seen") >= HOT_SEEN).select("v"), "hot-values")
+    if hot.count() > 4 * K * HOT_SAMPLE // HOT_SEEN:  # a sample four times as large as it should be
+        hot = hot.limit(0)
+    often = written(values.join(F.broadcast(hot), "v", "left_semi").groupBy("v").agg(F.count("id").alias("df")).filter("df > 1"), "hot-counts")
+    frequent = values.join(F.broadcast(often), "v").select("v", "id", "df")
+    rare = values.join(F.broadcast(hot), "v", "left_anti").repartition("v")
+    return frequent.unionByName(rare.join(rare.groupBy("v").agg(F.count("id").alias("df")).filter("df > 1"), "v").select("v", "id", "df"))
+
+
 def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id, kept."""
     texts = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -218,10 +240,7 @@ def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
     dropped(whole_table, first)
 
     # Inverted lists of the rarest retained values; one that a single class retains makes no pair but takes a place.
-    # Both sides read one exchange by value: counting ids (never null) keeps its columns the same.
-    values = classes.select("id", F.explode("sketch").alias("v")).filter("id is not null and v is not null").repartition("v")
-    shared = values.groupBy("v").agg(F.count("id").alias("df")).filter("df > 1")
-    held = values.join(shared, "v")
+    held = _held_values(classes)
     exact = math.floor(K * percent / 100)
     needed = F.when(F.col("n") <= exact, F.ceil(F.col("n") * percent / 100)).otherwise(OVERLAP)
     by_class = Window.partitionBy("id")
@@ -232,8 +251,10 @@ def find_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, tex
 
     # Each member meets its list's smallest id.
     first = lists.groupBy("v").agg(F.min(F.struct("id", "n")).alias("_first"), F.count("*").alias("_many")).filter("_many > 1")
+    first = written(first, "list-firsts")  # a plain table, so that a long list's members can be split
     stars = lists.join(first, "v").select(F.col("_first.id").alias("a"), F.col("id").alias("b"), F.col("_first.n").alias("na"), F.col("n").alias("nb"))
     stars = written(stars.filter(similar & (F.col("a") != F.col("b"))).select("a", "b").distinct(), "stars")
+    dropped(first)
     links = _links(stars, classes, texts, width, percent)
     joined = written(components(links), "components")
 
