@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.llm.common import joined_small, over_texts, written
+from memlake.llm.common import joined_small, over_texts, sliced, small_batches, written
 
 TABLES, LAST = 8, 32
 #: Entries, and queries, of a bucket that stand in one group, about.
@@ -183,27 +183,30 @@ def _meet(kind: str, k: int):
 
 
 def _closest(kind: str, k: int, asked: dict[int, tuple[list[int], np.ndarray]]):
-    """For each batch of classes the k best of each asked query, by length: ids and unit vectors."""
-
-    def make():
-        def run(x: dict) -> dict:
-            out: dict = {c: [] for c in ("qid", "cid", "score", "vec")}
-            for own in _by_length(x["vec"]):
-                ids, queries = asked.get(len(x["vec"][own[0]]), ([], None))
+    """For each task the k best classes of each asked query among all of its batches, by length: at most SAMPLE * k rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[float, int, bytes]]] = {}
+        for batch in (piece for whole in batches for piece in sliced(whole)):
+            cids, vecs = batch.column("cid").to_pylist(), batch.column("vec").to_pylist()
+            for own in _by_length(vecs):
+                ids, queries = asked.get(len(vecs[own[0]]), ([], None))
                 if ids:
-                    vectors = _vectors([x["vec"][i] for i in own], kind)
+                    vectors = _vectors([vecs[i] for i in own], kind)
                     score = queries @ (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).T
-                    score[np.array(ids)[:, None] == np.array([x["cid"][i] for i in own])[None]] = -np.inf
+                    score[np.array(ids)[:, None] == np.array([cids[i] for i in own])[None]] = -np.inf
                     for q, row in zip(ids, score, strict=True):
-                        for i in np.argsort(-row, kind="stable")[:k].tolist():
-                            if row[i] > -np.inf:
-                                for c, v in (("qid", q), ("cid", x["cid"][own[i]]), ("score", float(row[i])), ("vec", x["vec"][own[i]])):
-                                    out[c].append(v)
-            return out
+                        held = best.setdefault(q, [])
+                        floor = held[-1][0] if len(held) >= k else -np.inf
+                        better = [(float(row[i]), cids[own[i]], vecs[own[i]]) for i in np.argsort(-row, kind="stable")[:k].tolist() if row[i] > floor]
+                        if better:
+                            best[q] = sorted(held + better, key=lambda x: (-x[0], x[1]))[:k]
+        rows = [(q, c, s, v) for q, held in best.items() for s, c, v in held]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["qid", "cid", "score", "vec"])
 
-        return run
-
-    return make
+    return run
 
 
 def turn_found(query: np.ndarray, neighbour: np.ndarray) -> int:
@@ -227,7 +230,8 @@ def fitted_probes(classes: DataFrame, query_classes: DataFrame, kind: str, k: in
     for own in _by_length([r["vec"] for r in sample]):
         vectors = _vectors([sample[i]["vec"] for i in own], kind)
         asked[len(sample[own[0]]["vec"])] = [sample[i]["cid"] for i in own], vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    best = over_texts(classes.select("cid", "vec"), _closest(kind, k, asked), "qid bigint, cid bigint, score double, vec binary")
+    small_batches(classes.sparkSession)
+    best = classes.select("cid", "vec").mapInArrow(_closest(kind, k, asked), "qid bigint, cid bigint, score double, vec binary")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     true = best.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= k).select("qid", "vec").collect()  # at most SAMPLE * k
     of = {r["cid"]: _vectors([r["vec"]], kind)[0] for r in sample}
