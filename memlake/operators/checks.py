@@ -20,7 +20,7 @@ def chosen(df: DataFrame, wanted: dict[str, str | list[str]]) -> DataFrame:
 
 
 def readiness(rows: DataFrame, json: str) -> DataFrame:
-    """semantic, lexical from a status: each field there, of its type and right; never an error."""
+    """rows with semantic, lexical from a status: each field there, of its type and right; never an error."""
     v = F.try_parse_json(json)
     kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     true = lambda path: (kind(path) == "BOOLEAN") & F.try_variant_get(v, path, "boolean")
@@ -28,7 +28,7 @@ def readiness(rows: DataFrame, json: str) -> DataFrame:
     quiet = F.coalesce(kind("$.vectors.error") == "VOID", F.lit(True))
     semantic = quiet & true("$.vectors.active") & text("$.vectors.embedder").endswith("bge")
     lexical = true("$.index.exists") & (F.coalesce(text("$.index.status"), F.lit("")) != "error")
-    return rows.select(F.coalesce(semantic, F.lit(False)).alias("semantic"), F.coalesce(lexical, F.lit(False)).alias("lexical"))
+    return rows.withColumns({"semantic": F.coalesce(semantic, F.lit(False)), "lexical": F.coalesce(lexical, F.lit(False))})
 
 
 def accepted_payloads(rows: DataFrame, request: str, key: str, item: str, score: str, needed: tuple[str, ...], known: tuple[str, ...]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package; each has QUERIES (name to callable) and ORACLES (name to SQL).
-MODULES = ("corpus", "events", "integrity", "evaluation", "sessions", "shaping", "scoring", "checks", "upkeep", "records", "thresholds", "streams", "digests")
+MODULES = ("corpus", "events", "integrity", "evaluation", "sessions", "shaping", "scoring", "checks", "upkeep", "records", "thresholds", "streams", "digests", "lines")
 
 
 def _gather(kind: str) -> dict:
