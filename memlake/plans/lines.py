@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import rules as T
 from memlake.operators import checks as O
+from memlake.operators import windows as W
 from memlake.plans.checks import _SKIP
 from memlake.plans.registry import Registry
 
@@ -280,3 +281,83 @@ def one_with_both(t):
     hits = t.documents.filter(F.contains("text", F.lit("token")) & F.contains("text", F.col("lang")))
     g = hits.groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("one"))
     return g.select(F.concat_ws("+", "source", "lang").alias("wanted"), "n", F.when(F.col("n") == 1, F.col("one")).alias("found"))
+
+
+@R.query("SELECT conv_id, count(*) FILTER (WHERE noise) AS dropped, count(*) FILTER (WHERE NOT noise) AS kept FROM (SELECT conv_id, trim(CASE WHEN (conv_id + turn) % 7 = 0 THEN '  ' || ['ok', 'yes', 'no', 'thanks', 'OK', 'yes.', ''][turn % 7 + 1] || ' ' ELSE coalesce(text, '') END) IN ('ok', 'yes', 'no', 'thanks') AS noise FROM conversations) GROUP BY conv_id")
+def noise_words(t):
+    """Messages that are one of four words and nothing else, dropped and counted for each conversation; every seventh is made short."""
+    short = F.element_at(F.array(*map(F.lit, ("ok", "yes", "no", "thanks", "OK", "yes.", ""))), (F.col("turn") % 7 + 1).cast("int"))
+    body = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.concat(F.lit("  "), short, F.lit(" "))).otherwise(F.coalesce("text", F.lit("")))
+    rows = t.conversations.select("conv_id", F.trim(body).isin("ok", "yes", "no", "thanks").alias("noise"))
+    return rows.groupBy("conv_id").agg(F.count_if("noise").alias("dropped"), F.count_if(~F.col("noise")).alias("kept"))
+
+
+@R.query("SELECT d.doc_id, d.source FROM documents d WHERE n_chars > 300 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def outside_snapshot(t):
+    """Documents that a snapshot (those labelled) doesn't hold yet."""
+    return t.documents.filter("n_chars > 300").join(t.labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@R.query("SELECT o_orderkey AS key, 'not_seen' AS problem FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1 AND l_quantity > 5) UNION ALL SELECT DISTINCT l_orderkey, 'not_scanned' FROM lineitem WHERE l_linenumber = 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def scan_against_index(t):
+    """Keys of a scan that an index over other rows doesn't give, and the other way round."""
+    first = t.lineitem.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("key"), "l_quantity")
+    scanned = t.orders.select(F.col("o_orderkey").alias("key"), "o_orderstatus")
+    seen = scanned.join(first.filter("l_quantity > 5"), "key", "left_anti").select("key", F.lit("not_seen").alias("problem"))
+    return seen.unionByName(first.select("key").distinct().join(scanned.filter("o_orderstatus <> 'P'"), "key", "left_anti").select("key", F.lit("not_scanned").alias("problem")))
+
+
+_JOB = "CASE page_id % 4 WHEN 0 THEN 'useful:' || page_id || ':' || url WHEN 1 THEN 'related:' || url WHEN 2 THEN url ELSE 'useful:q' || page_id % 9 || ':card' END"
+
+
+@R.query(f"SELECT page_id, split_part(job, ':', 1) AS kind, CASE WHEN contains(job, ':') THEN split_part(job, ':', 2) END AS qid, CASE WHEN len(string_split(job, ':')) > 2 THEN substr(job, length(split_part(job, ':', 1)) + length(split_part(job, ':', 2)) + 3) END AS card FROM (SELECT page_id, {_JOB} AS job FROM pages)")
+def job_names(t):
+    """Names of jobs in three parts, of which the last keeps its colons; parts that aren't there are null."""
+    k, p = F.col("page_id") % 4, _text("page_id")
+    job = F.when(k == 0, F.concat(F.lit("useful:"), p, F.lit(":"), "url")).when(k == 1, F.concat(F.lit("related:"), "url")).when(k == 2, F.col("url")).otherwise(F.concat(F.lit("useful:q"), (F.col("page_id") % 9).cast("string"), F.lit(":card")))
+    parts = F.split(job, ":", 3)
+    return t.pages.select("page_id", parts.alias("parts")).select("page_id", F.get("parts", F.lit(0)).alias("kind"), F.get("parts", F.lit(1)).alias("qid"), F.get("parts", F.lit(2)).alias("card"))
+
+
+@R.query(
+    """WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN to_base64(encode(coalesce(text, ''))) WHEN 1 THEN left(to_base64(encode(coalesce(text, ''))), 5) WHEN 2 THEN '*' || source ELSE to_base64(encode(source || chr(10) || lang)) END AS coded FROM documents),
+k AS (SELECT *, regexp_full_match(coded, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') AS good FROM c)
+SELECT doc_id, CASE WHEN good THEN octet_length(from_base64(CASE WHEN good THEN coded ELSE '' END)) END AS bytes, CASE WHEN good THEN sha256(from_base64(CASE WHEN good THEN coded ELSE '' END)) END AS digest FROM k"""
+)
+def snapshot_bytes(t):
+    """Bytes behind a snapshot's coded fields; what isn't whole base64 has none and fails nothing."""
+    d, code = F.col("doc_id") % 4, lambda c: F.base64(F.encode(c, "UTF-8"))
+    body = F.regexp_replace(code(F.coalesce("text", F.lit(""))), "[\r\n]", "")
+    coded = F.when(d == 0, body).when(d == 1, F.substring(body, 1, 5)).when(d == 2, F.concat(F.lit("*"), "source")).otherwise(code(F.concat_ws("\n", "source", "lang")))
+    rows = t.documents.select("doc_id", coded.alias("coded"))
+    good = F.col("coded").rlike(r"^([A-Za-z0-9+/]{4})*+([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
+    raw = F.when(good, F.unbase64("coded"))
+    return rows.select("doc_id", F.octet_length(raw).alias("bytes"), F.sha2(raw, 256).alias("digest"))
+
+
+@R.query("SELECT event_id, row_number() OVER (ORDER BY started, user_id) AS place FROM (SELECT user_id, min(ts) AS started, arg_min(event_id, ts) AS event_id FROM events WHERE ts IS NOT NULL GROUP BY user_id)")
+def requests_in_order(t):
+    """Requests by when they began, then by id: the order itself as a number, from ranks within hours and the hours' counts."""
+    first = t.events.filter("ts is not null").groupBy("user_id").agg(F.min("ts").alias("started"), F.min_by("event_id", "ts").alias("event_id"))
+    rows = first.withColumn("hour", F.date_trunc("hour", "started"))
+    return W.numbered_by_range(rows, "hour", [F.col("started"), F.col("user_id")], "_from_0", "_n").select("event_id", (F.col("_from_0") + 1).alias("place"))
+
+
+_SWEPT = "SELECT lang, th AS theta, count(*) FILTER (WHERE s >= th AND good) AS tp, count(*) FILTER (WHERE s >= th AND NOT good) AS fp, count(*) FILTER (WHERE good) AS good FROM (SELECT lang, (n_chars % 100) / 100.0 AS s, quality = 1 AND toxic = 0 AS good FROM documents JOIN labels USING (doc_id)), (SELECT unnest([0.2, 0.4, 0.6, 0.8]) AS th) GROUP BY lang, th"
+
+
+@R.query(
+    f"""WITH s AS (SELECT lang, theta, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS p, CASE WHEN good = 0 THEN 1.0 ELSE tp / good END AS r, good FROM ({_SWEPT}))
+SELECT lang, CASE WHEN good > 0 THEN CAST(theta AS DOUBLE) END AS theta FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY p >= 0.75 DESC, CASE WHEN p >= 0.75 THEN r ELSE p END DESC, theta) AS k FROM s) WHERE k = 1"""
+)
+def threshold_by_language(t):
+    """For each language the threshold of best recall at enough precision, swept over its own labels; none where nothing good was labelled."""
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    rows = t.documents.select("doc_id", "lang", ((F.col("n_chars") % 100) / 100.0).alias("s")).join(t.labels, "doc_id").select("lang", "s", good.alias("good"))
+    steps = (0.2, 0.4, 0.6, 0.8)
+    counts = rows.groupBy("lang").agg(F.count_if("good").alias("good"), F.array(*[F.struct(F.lit(th).alias("theta"), F.count_if((F.col("s") >= th) & F.col("good")).alias("tp"), F.count_if((F.col("s") >= th) & ~F.col("good")).alias("fp")) for th in steps]).alias("sweep"))
+    share = lambda a, b: F.when(b == 0, 1.0).otherwise(a / b)
+    x = counts.select("lang", "good", F.explode("sweep").alias("x")).select("lang", "good", "x.theta", share(F.col("x.tp"), F.col("x.tp") + F.col("x.fp")).alias("p"), share(F.col("x.tp"), F.col("good")).alias("r"))
+    enough = F.col("p") >= 0.75
+    best = W.first_per_key(x, ["lang"], [F.desc(enough), F.desc(F.when(enough, F.col("r")).otherwise(F.col("p"))), F.col("theta")])
+    return best.select("lang", F.when(F.col("good") > 0, F.col("theta")).alias("theta"))
