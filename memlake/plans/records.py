@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.operators import joins as J
+from memlake.operators.joins import joined_small
 from memlake.operators import records as O
 from memlake.operators import windows as W
 from memlake.plans.registry import Registry
@@ -150,7 +151,9 @@ def sources_with_messages(t):
     """Sources over inner joins with messages and agents and a left one with workspaces: those without a message drop out."""
     agents = t.documents.filter("doc_id < 500").select("lang").distinct()
     workspaces = t.documents.filter("doc_id % 2 = 0").select("source", F.lit(True).alias("known")).distinct()
-    rows = t.documents.select("doc_id", "source", "lang").join(t.labels.select("doc_id"), "doc_id").join(F.broadcast(agents), "lang").join(F.broadcast(workspaces), "source", "left")
+    rows = t.documents.select("doc_id", "source", "lang").join(t.labels.select("doc_id"), "doc_id")
+    rows = joined_small(rows, agents.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"), agents.count() * 64)
+    rows = joined_small(rows, workspaces.withColumnRenamed("source", "_source"), F.col("source") == F.col("_source"), workspaces.count() * 64, how="left")
     return rows.groupBy("source", "lang").agg(F.count("*").alias("messages"), F.min("doc_id").alias("first")).filter("messages >= 2")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake.operators import pivots
+from memlake.operators.joins import joined_small
 from memlake.operators import integrity as I
 from memlake.operators import upkeep as O
 from memlake.operators import windows as W
@@ -192,8 +193,9 @@ def timeline_since(t):
 def recall_gate(t):
     """Each labelled query must find at least so many documents with its token."""
     q = t.benchmark.select("item_id", F.split_part("text", F.lit(" "), F.lit(2)).alias("token"), (1 + F.col("item_id") % 3).alias("least"))
-    words = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("token")).join(F.broadcast(q.select("token").distinct()), "token", "left_semi").distinct()
-    n = words.groupBy("token").agg(F.count("*").alias("hits"))
+    asked = q.select(F.col("token").alias("_asked")).distinct()
+    words = joined_small(t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("token")), asked, F.col("token") == F.col("_asked"), asked.count() * 64)
+    n = words.groupBy("token").agg(F.countDistinct("doc_id").alias("hits"))
     return q.join(n, "token", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("hits", F.lit(0)) >= F.col("least")).alias("recalled"))
 
 
