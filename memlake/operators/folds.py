@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,31 +107,38 @@ def passed(used: int, step: dict) -> tuple[int, int]:
     return step["opened"][k], step["after"][k]
 
 
-def _arrays(t: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(t[c].to_numpy() for c in ("_start", "_add", "_must", "_closes"))
+def _runs(t: pa.Table, names: list[str], cap: int) -> Iterator[tuple[pa.Table, Block]]:
+    """A block's rows in order, each key's apart: they stand together."""
+    t = t.sort_by("_at")
+    keys = list(zip(*(t[c].to_pylist() for c in names), strict=True))
+    at = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]] + [len(keys)]
+    for i, j in zip(at, at[1:], strict=False):
+        part = t.slice(i, j - i)
+        yield part, Block(*(part[c].to_numpy() for c in ("_start", "_add", "_must", "_closes")), cap)
 
 
 def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], start: Column, add: Column, must: Column, closes: Column, cap: int, out: str = "group") -> DataFrame:
     """rows with each one's group, numbered from 0 within its key: a row joins the group before it unless it must begin one, that
     group is closed, or what is used and what it adds exceed `cap`. `_at` rises with keys and order.
 
-    A block of rows is summed up by Block.steps; a key's sums, one for each block, are folded in one task and give each block the
-    state before it; then blocks are numbered apart. Only numbers go to Python.
+    A key's rows in a block are summed up by Block.steps; the sums of a key that reaches over several blocks are folded in one task and give each
+    block the state before it; then blocks are numbered apart. Python gets numbers only, a block of rows at a time.
     """
     whole = rows.withColumns({"_start": start.cast("long"), "_add": add.cast("long"), "_must": must, "_closes": closes})
     blocks = in_blocks(whole, keys, order)
-    lean = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_at", "_block", "_start", "_add", "_must", "_closes")
     names = [f"_k{i}" for i in range(len(keys))]
+    lean = blocks.select(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)], "_at", "_block", "_start", "_add", "_must", "_closes")
     kinds = [lean.schema[c] for c in (*names, "_block")]
     sums = StructType([*kinds, *StructType.fromDDL("limits array<bigint>, opened array<bigint>, after array<bigint>, passes bigint, total bigint").fields])
     states = StructType([*kinds, *StructType.fromDDL("_used bigint, _before bigint").fields])
+    lists, number = pa.list_(pa.int64()), pa.int64()
 
     def summed(t: pa.Table) -> pa.Table:
-        step = Block(*_arrays(t.sort_by("_at")), cap).steps()
-        kept = t.slice(0, 1).select([*names, "_block"])
-        for name, kind in (("limits", pa.list_(pa.int64())), ("opened", pa.list_(pa.int64())), ("after", pa.list_(pa.int64())), ("passes", pa.int64()), ("total", pa.int64())):
-            kept = kept.append_column(name, pa.array([step[name]], kind))
-        return kept
+        found = [(part.slice(0, 1).select([*names, "_block"]), block.steps()) for part, block in _runs(t, names, cap)]
+        made = pa.concat_tables([head for head, _ in found])
+        for name, kind in (("limits", lists), ("opened", lists), ("after", lists), ("passes", number), ("total", number)):
+            made = made.append_column(name, pa.array([step[name] for _, step in found], kind))
+        return made
 
     def folded(t: pa.Table) -> pa.Table:
         t = t.sort_by("_block")
@@ -139,18 +148,20 @@ def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], start: Col
             seen[1].append(before)
             opened, used = passed(used, step)
             before += opened
-        return t.select([*names, "_block"]).append_column("_used", pa.array(seen[0], pa.int64())).append_column("_before", pa.array(seen[1], pa.int64()))
+        return t.select([*names, "_block"]).append_column("_used", pa.array(seen[0], number)).append_column("_before", pa.array(seen[1], number))
 
-    def number(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_at")
-        groups = Block(*_arrays(t), cap).groups(t["_used"][0].as_py()) + t["_before"][0].as_py() - 1
-        return pa.table({"_at": t["_at"], out: pa.array(groups, pa.int64())})
+    def numbered(t: pa.Table) -> pa.Table:
+        found = [(part["_at"], block.groups(part["_used"][0].as_py()) + part["_before"][0].as_py() - 1) for part, block in _runs(t, names, cap)]
+        return pa.table({"_at": pa.chunked_array([c for at, _ in found for c in at.chunks], number), out: pa.array(np.concatenate([g for _, g in found]), number)})
 
-    steps = lean.groupBy(*names, "_block").applyInArrow(summed, sums)
-    entries = cut(steps.groupBy(*names).applyInArrow(folded, states)).select(*[F.col(k).alias(f"_e{k}") for k in names], F.col("_block").alias("_e_block"), "_used", "_before")
+    steps = cut(lean.groupBy("_block").applyInArrow(summed, sums))
+    many = steps.groupBy(*[F.col(n).alias(f"_m{n}") for n in names]).agg(F.count("*").alias("_blocks")).filter("_blocks > 1")
+    of_many = steps.join(many, reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_m{n}")) for n in names]), "left_semi")
+    entries = cut(of_many.groupBy(*names).applyInArrow(folded, states)).select(*[F.col(k).alias(f"_e{k}") for k in names], F.col("_block").alias("_e_block"), "_used", "_before")
     same = [F.col(k).eqNullSafe(F.col(f"_e{k}")) for k in names] + [F.col("_block") == F.col("_e_block")]
-    numbered = lean.join(entries, on=same, how="inner").select(*lean.columns, "_used", "_before").groupBy(*names, "_block").applyInArrow(number, f"_at bigint, `{out}` bigint")
-    return blocks.drop("_start", "_add", "_must", "_closes", "_block").join(numbered, "_at")
+    begun = lean.join(entries, on=same, how="left").select(*lean.columns, F.coalesce("_used", F.lit(CLOSED)).alias("_used"), F.coalesce("_before", F.lit(0).cast("long")).alias("_before"))
+    groups = begun.groupBy("_block").applyInArrow(numbered, f"_at bigint, `{out}` bigint")
+    return blocks.drop("_start", "_add", "_must", "_closes", "_block").join(groups, "_at")
 
 
 def with_running_max(rows: DataFrame, keys: list[str], place: str, value: Column, out: str) -> DataFrame:
